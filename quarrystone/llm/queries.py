@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from quarrystone.llm import chat as _chat
 from quarrystone.llm import exact_dedup as _exact
 from quarrystone.llm import license_scan as _license
+from quarrystone.llm import mixing as _mixing
+from quarrystone.llm import packing as _packing
+from quarrystone.llm import token_files as _token_files
+
+VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,13 +23,37 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _license.license_scan(_table(spark, sf_dir, "documents"))
 
 
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _packing.pack_sequences(_table(spark, sf_dir, "documents"), VOCABULARY, capacity=2048)
+
+
+def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _token_files.token_round_trip(_table(spark, sf_dir, "documents"), VOCABULARY)
+
+
+def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    own = spark.createDataFrame(
+        [(-7, k, role, r"\### Assistant: </turn> ok") for k, role in enumerate(("user", "assistant"))],
+        turns.schema)
+    return _chat.read_back(_chat.format_conversations(turns.unionByName(own)))
+
+
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mixing.mix_table(_table(spark, sf_dir, "documents"))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _exact.exact_dedup(_table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
     "op2_license_scan": op2_license_scan,
+    "op3_best_fit_packing": op3_best_fit_packing,
+    "op6_token_files": op6_token_files,
+    "op7_chat_formatting": op7_chat_formatting,
     "op8_exact_dedup": op8_exact_dedup,
+    "op10_mixing": op10_mixing,
 }
 
 ORACLE_SQL = {
