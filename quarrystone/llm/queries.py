@@ -6,10 +6,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from quarrystone.llm import chat as _chat
+from quarrystone.llm import embedding_dedup as _embedding
 from quarrystone.llm import exact_dedup as _exact
 from quarrystone.llm import license_scan as _license
 from quarrystone.llm import mixing as _mixing
 from quarrystone.llm import packing as _packing
+from quarrystone.llm import quality as _quality
 from quarrystone.llm import token_files as _token_files
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -27,6 +29,11 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _packing.pack_sequences(_table(spark, sf_dir, "documents"), VOCABULARY, capacity=2048)
 
 
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return _quality.score(docs, _quality.train(docs, _table(spark, sf_dir, "labels")))
+
+
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _token_files.token_round_trip(_table(spark, sf_dir, "documents"), VOCABULARY)
 
@@ -43,6 +50,10 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mixing.mix_table(_table(spark, sf_dir, "documents"))
 
 
+def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _embedding.near_duplicates(_table(spark, sf_dir, "embeddings"), least=0.95)
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _exact.exact_dedup(_table(spark, sf_dir, "documents"))
 
@@ -50,9 +61,11 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_license_scan": op2_license_scan,
     "op3_best_fit_packing": op3_best_fit_packing,
+    "op4_quality_classifier": op4_quality_classifier,
     "op6_token_files": op6_token_files,
     "op7_chat_formatting": op7_chat_formatting,
     "op8_exact_dedup": op8_exact_dedup,
+    "op9_embedding_dedup": op9_embedding_dedup,
     "op10_mixing": op10_mixing,
 }
 
