@@ -10,6 +10,7 @@ from quarrystone.llm import embedding_dedup as _embedding
 from quarrystone.llm import exact_dedup as _exact
 from quarrystone.llm import license_scan as _license
 from quarrystone.llm import mixing as _mixing
+from quarrystone.llm import ngram_join as _ngram
 from quarrystone.llm import packing as _packing
 from quarrystone.llm import quality as _quality
 from quarrystone.llm import token_files as _token_files
@@ -21,6 +22,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _ngram.jaccard_components(_table(spark, sf_dir, "documents"), width=3, part=90, whole=100)
+
+
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _license.license_scan(_table(spark, sf_dir, "documents"))
 
@@ -59,6 +64,7 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_ngram_join": op1_ngram_join,
     "op2_license_scan": op2_license_scan,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_quality_classifier": op4_quality_classifier,
