@@ -1,22 +1,61 @@
-"""A corpus pipeline made of the training-data operators."""
+"""A corpus pipeline: five training-data operators, one after another, over whole tables.
+
+Each stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame; a runner
+writes it and reads it again as the next one's documents.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from quarrystone.llm.common import materialise
 from quarrystone.llm.exact_dedup import keep_one
+from quarrystone.llm.mixing import mixed_documents
+from quarrystone.llm.ngram_join import keep_first
+from quarrystone.llm.packing import pack_sequences
+from quarrystone.llm.quality import keep_good, train
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier rejects go."""
+    return keep_good(docs, train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of texts equal but for white space, the longest original stays."""
     return keep_one(docs)
 
 
-STAGES = [("exact_dedup", exact_stage)]
+def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents linked by word 5-grams at a similarity of 0.8, the smallest id stays."""
+    return keep_first(docs, width=5, part=80, whole=100)
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix of sources draws them."""
+    return mixed_documents(docs)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the mix, packed into sequences of 2048 tokens."""
+    return pack_sequences(docs, public_tokenizers.path("byte_bpe_50k.json"), capacity=2048)
+
+
+STAGES = [
+    ("quality_classifier", quality_stage),
+    ("exact_dedup", exact_stage),
+    ("ngram_join", near_stage),
+    ("mixing", mixing_stage),
+    ("best_fit_packing", packing_stage),
+]
+#: A learned classifier and a packing by linear program have no SQL form.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``, each written and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = materialise(stage(spark, docs, sf_dir), f"stage-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
