@@ -1,11 +1,11 @@
 """Case documents: parsing of two text forms, classification, versions, mapping and quality.
 
-Parsing works on the columns of a text's lines with array functions, so whole
-tables of texts are parsed inside Spark without a Python worker.
+Texts are parsed in Arrow batches; everything after that is relational.
 """
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,103 +25,105 @@ CIOMS_LABELS = {"case_reference": "Case reference", "report_type": "Report type"
                 "outcome": "Outcome", "reporter_type": "Reporter type"}
 REQUIRED = ("case_reference", "report_type", "report_date", "products", "reactions")
 
-L = F.col("_lines")
 
 
-def _value(label: str) -> Column:
-    """The line after the last line that is the label (an end of text has none)."""
-    places = F.filter(F.sequence(F.lit(1), F.greatest(F.size(L) - 1, F.lit(1))), lambda i: F.get(L, i - 1) == label)
-    return F.get(L, F.array_max(places))
-
-
-def _first(test, start: Column) -> Column:
-    """The first place (from 0) at or after ``start`` whose line passes, else the number of lines."""
-    places = F.filter(F.sequence(F.lit(0), F.greatest(F.size(L) - 1, F.lit(0))),
-                      lambda i: (i >= start) & F.coalesce(test(F.get(L, i)), F.lit(False)))
-    return F.coalesce(F.array_min(places), F.size(L))
-
-
-def _between(marker: str, ends: tuple[str, ...], header: tuple[str, ...]) -> Column:
-    """Lines after the marker up to an end mark; a header is taken off by place, never by value."""
-    begin = _first(lambda x: x.startswith(marker), F.lit(0)) + 1
-    stop = _first(lambda x: F.greatest(*[x.startswith(e).cast("int") for e in ends], F.lit(0)) == 1, begin)
-    block = F.slice(L, F.least(begin, F.size(L)) + 1, F.greatest(stop - begin, F.lit(0)))
-    whole = F.slice(block, 1, len(header)) == F.array(*map(F.lit, header))
-    return F.when(whole, F.slice(block, len(header) + 1, F.greatest(F.size(block) - len(header), F.lit(0)))).otherwise(block)
-
-
-def _rows(block: Column, width: int) -> Column:
-    """Whole rows of a table block as arrays of lines."""
-    count = F.floor(F.size(block) / width).cast("int")
-    return F.when(count > 0, F.transform(F.sequence(F.lit(0), F.greatest(count - 1, F.lit(0))),
-                                         lambda i: F.slice(block, i * width + 1, width))).otherwise(
-        F.array().cast("array<array<string>>"))
-
-
-def _narrative(begin: Column, end: Column, head: Column | None = None) -> Column:
-    body = F.array_join(F.slice(L, F.least(begin, F.size(L)) + 1, F.greatest(end - begin, F.lit(0))), " ")
-    return F.nullif(F.trim(F.concat_ws(" ", head, body) if head is not None else body), F.lit(""))
+class Lines:
+    """The lines of a text, without blank ones, and what can be asked of them."""
+
+    def __init__(self, text: str):
+        self.all = [x.strip() for x in text.splitlines() if x.strip()]
+
+    def after(self, label: str) -> str | None:
+        """The line below the last line that is the label."""
+        found = [k for k, x in enumerate(self.all[:-1]) if x == label]
+        return self.all[found[-1] + 1] if found else None
+
+    def find(self, start: int, *marks: str, whole: bool = False) -> int:
+        """The first place from ``start`` on whose line begins with (or is) a mark; the end if none does."""
+        for k in range(start, len(self.all)):
+            if self.all[k] in marks if whole else self.all[k].startswith(marks):
+                return k
+        return len(self.all)
+
+    def rows(self, mark: str, ends: tuple[str, ...], header: tuple[str, ...], width: int) -> list[list[str]]:
+        """Whole rows of the table below a mark; its header is known by place, so equal cells stay."""
+        begin = self.find(0, mark)
+        if begin == len(self.all):
+            return []
+        block = self.all[begin + 1:self.find(begin + 1, *ends)]
+        if tuple(block[:len(header)]) == header:
+            del block[:len(header)]
+        return [block[k:k + width] for k in range(0, len(block) - width + 1, width)]
+
+
+def _cioms(lines: Lines) -> dict:
+    out = {name: lines.after(label) for name, label in CIOMS_LABELS.items()}
+    table = lines.rows("No.", ("III. CONCOMITANT", "IV. MANUFACTURER"), CIOMS_PRODUCT_HEADER, 6)
+    out["products"] = [(r[1], r[2]) for r in table if r[0].isdigit()]
+    terms = (lines.after("Reaction(s)") or "").split(",")
+    out["reactions"] = [(t.strip(), out["seriousness"], out["outcome"]) for t in terms if t.strip()]
+    begin = lines.find(0, "Narrative:")
+    story = lines.all[begin:lines.find(begin + 1, "II. SUSPECT")]
+    out["narrative"] = " ".join([story[0].removeprefix("Narrative:").strip(), *story[1:]]).strip() if story else None
+    return out
+
+
+def _manufacturer(lines: Lines) -> dict:
+    products = lines.rows("Suspect products", ("Reported events",), PRODUCT_HEADER, 4)
+    events = lines.rows("Reported events", ("Assessment and workflow notes",), EVENT_HEADER, 4)
+    begin = lines.find(0, "Case narrative", whole=True) + 1
+    out = {"case_reference": lines.after("Manufacturer case number"), "report_date": lines.after("Report date"),
+           "received_date": lines.after("Receipt date"), "reporter_type": lines.after("Source"),
+           "report_type": "FOLLOW-UP" if lines.all[0] == FOLLOW_UP_TITLE else "INITIAL",
+           "narrative": " ".join(lines.all[begin:lines.find(begin, "Suspect products", whole=True)]),
+           "products": [(r[1], r[2]) for r in products if r[0] == "Suspect"],
+           "reactions": [(r[0], r[2], r[3]) for r in events]}
+    if out["reactions"]:
+        _, out["seriousness"], out["outcome"] = out["reactions"][0]
+    return out
+
+
+FIELDS = tuple(CIOMS_LABELS)
+PARSED = ("document_format string, products array<struct<reported_product:string,active_ingredient:string>>, "
+          "reactions array<struct<reaction_term:string,seriousness:string,outcome:string>>, narrative string, "
+          + ", ".join(f"{n} string" for n in FIELDS))
+
+
+def parse_text(text: str | None) -> dict:
+    """The fields of one text; a text of no known form has none, and nothing ever raises."""
+    lines = Lines(text or "")
+    title = lines.all[0] if lines.all else ""
+    if title == CIOMS_TITLE:
+        form, found = "cioms", _cioms(lines)
+    elif title in (INITIAL_TITLE, FOLLOW_UP_TITLE):
+        form, found = "manufacturer", _manufacturer(lines)
+    else:
+        form, found = "unknown", {}
+    blank = dict.fromkeys(FIELDS) | {"products": [], "reactions": [], "narrative": None}
+    return {"document_format": form} | blank | {k: (v if v != "" else None) for k, v in found.items()}
 
 
 def parse_documents(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Documents with the fields of their form; texts of no known form get null fields and empty lists."""
-    lines = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), r"\r\n|\r|\n"), lambda x: F.trim(F.regexp_replace(x, r"^\s+|\s+$", ""))),
-                     lambda x: x != "")
-    df = docs.withColumn("_lines", lines)
-    title = F.get(L, F.lit(0))
-    form = (F.when(title == CIOMS_TITLE, "cioms").when(title.isin(INITIAL_TITLE, FOLLOW_UP_TITLE), "manufacturer")
-            .otherwise("unknown"))
-    cioms, maker = form == "cioms", form == "manufacturer"
-    # one form's tables
-    product_rows = F.filter(_rows(_between("No.", ("III. CONCOMITANT", "IV. MANUFACTURER"), CIOMS_PRODUCT_HEADER), 6),
-                            lambda r: F.get(r, F.lit(0)).rlike(r"^\d+$"))
-    cioms_products = F.transform(product_rows, lambda r: F.struct(
-        F.get(r, F.lit(1)).alias("reported_product"), F.get(r, F.lit(2)).alias("active_ingredient")))
-    terms = F.filter(F.transform(F.split(F.coalesce(_value("Reaction(s)"), F.lit("")), ","), lambda x: F.trim(x)), lambda x: x != "")
-    serious, outcome = _value("Seriousness"), _value("Outcome")
-    cioms_reactions = F.transform(terms, lambda t: F.struct(
-        t.alias("reaction_term"), serious.alias("seriousness"), outcome.alias("outcome")))
-    # the other's
-    maker_rows = F.filter(_rows(_between("Suspect products", ("Reported events",), PRODUCT_HEADER), 4),
-                          lambda r: F.get(r, F.lit(0)) == "Suspect")
-    maker_products = F.transform(maker_rows, lambda r: F.struct(
-        F.get(r, F.lit(1)).alias("reported_product"), F.get(r, F.lit(2)).alias("active_ingredient")))
-    events = _rows(_between("Reported events", ("Assessment and workflow notes",), EVENT_HEADER), 4)
-    maker_reactions = F.transform(events, lambda r: F.struct(
-        F.get(r, F.lit(0)).alias("reaction_term"), F.get(r, F.lit(2)).alias("seriousness"), F.get(r, F.lit(3)).alias("outcome")))
-    no_products = F.array().cast("array<struct<reported_product:string,active_ingredient:string>>")
-    no_reactions = F.array().cast("array<struct<reaction_term:string,seriousness:string,outcome:string>>")
-    df = df.withColumns({
-        "document_format": form,
-        "products": F.when(cioms, cioms_products).when(maker, maker_products).otherwise(no_products),
-        "reactions": F.when(cioms, cioms_reactions).when(maker, maker_reactions).otherwise(no_reactions)})
-    head = F.get("reactions", F.lit(0))
-    starts = _first(lambda x: x.startswith("Narrative:"), F.lit(0))
-    first_line = F.trim(F.regexp_replace(F.get(L, starts), "^Narrative:", ""))
-    ends = _first(lambda x: x.startswith("II. SUSPECT"), starts + 1)
-    story = _first(lambda x: x == "Case narrative", F.lit(0))
-    fields = {n: F.when(cioms, _value(label)) for n, label in CIOMS_LABELS.items()}
-    fields |= {
-        "case_reference": F.when(cioms, _value("Case reference")).when(maker, _value("Manufacturer case number")),
-        "report_type": F.when(cioms, _value("Report type")).when(title == FOLLOW_UP_TITLE, "FOLLOW-UP").when(maker, "INITIAL"),
-        "report_date": F.when(cioms, _value("Date of report")).when(maker, _value("Report date")),
-        "received_date": F.when(cioms, _value("Date received")).when(maker, _value("Receipt date")),
-        "seriousness": F.when(cioms, serious).when(maker, head["seriousness"]),
-        "outcome": F.when(cioms, outcome).when(maker, head["outcome"]),
-        "reporter_type": F.when(cioms, _value("Reporter type")).when(maker, _value("Source")),
-        "narrative": F.when(cioms & (starts < F.size(L)), _narrative(starts + 1, ends, first_line)).when(
-            maker, _narrative(story + 1, _first(lambda x: x == "Suspect products", story + 1))),
-    }
-    df = df.withColumns(fields)
-    lacks = [F.when(F.size(n) == 0 if n in ("products", "reactions") else F.col(n).isNull() | (F.col(n) == ""), F.lit(n))
-             for n in REQUIRED]
-    return df.withColumn("missing_fields", F.filter(F.array(*lacks), lambda x: x.isNotNull())).drop("_lines")
+    """Documents with the fields of their form, by one Arrow-batched function over the text alone."""
+    @F.pandas_udf(PARSED)
+    def parse(texts: pd.Series) -> pd.DataFrame:
+        names = ["document_format", "products", "reactions", "narrative", *FIELDS]
+        rows = [parse_text(t) for t in texts]
+        out = pd.DataFrame({n: pd.Series([r[n] for r in rows], dtype=object) for n in names})
+        for n, keys in (("products", ("reported_product", "active_ingredient")),
+                        ("reactions", ("reaction_term", "seriousness", "outcome"))):
+            out[n] = out[n].map(lambda v, keys=keys: [dict(zip(keys, x)) for x in v])
+        return out
+
+    df = docs.withColumn("_p", parse(text)).select(*docs.columns, "_p.*")
+    lacks = [F.when(F.size(n) == 0 if n in ("products", "reactions") else F.col(n).isNull(), F.lit(n)) for n in REQUIRED]
+    return df.withColumn("missing_fields", F.filter(F.array(*lacks), lambda x: x.isNotNull()))
 
 
 def classify_documents(parsed: DataFrame, text: str = "text") -> DataFrame:
     """Adds ``classification`` and ``extraction_confidence`` (0 to 1, three decimals)."""
     n = F.size("missing_fields")
-    blank = F.trim(F.coalesce(text, F.lit(""))) == ""
+    blank = ~F.coalesce(text, F.lit("")).rlike(r"\S")
     follow = F.upper("report_type") == "FOLLOW-UP"
     kind = (F.when(blank, "unreadable").when(F.col("document_format") == "unknown", "supporting_document")
             .when(follow, "follow_up").when(n > 0, "unreadable").otherwise("case_report"))
