@@ -65,4 +65,4 @@ def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "2 days") -
 
 def distinct_events(events: DataFrame, key: list[str], late: str = "2 days") -> DataFrame:
     timed = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
-    return timed.dropDuplicatesWithinWatermark(key)
+    return timed.dropDuplicatesWithinWatermark(key) if events.isStreaming else timed.dropDuplicates(key)
