@@ -9,6 +9,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+KEPT = "stage-"
+_WRITTEN: list[str] = []
+
+
+def release(spark: SparkSession) -> None:
+    """Delete the intermediate tables written so far, all but a pipeline's stages.
+
+    Only for a point where no result that reads them is still to be written,
+    such as the start of a stage whose input was written and read again.
+    """
+    jvm = spark._jvm
+    while _WRITTEN:
+        path = jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """The shared folder for written intermediate tables.
 
@@ -32,6 +48,8 @@ def materialise(df: DataFrame, name: str, partition_hint: int | None = None) ->
     """
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/quarrystone/{name}-{uuid.uuid4().hex}"
+    if not name.startswith(KEPT):
+        _WRITTEN.append(path)
     (df.coalesce(partition_hint) if partition_hint else df).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

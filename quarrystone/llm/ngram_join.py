@@ -8,9 +8,12 @@ holds at most one difference, and the two of its subparts without it are equal
 in both sets.  Each choice of two subparts of each part is one signature, so
 linked sets always share one and no link is lost.
 
-Sets with a common signature are gathered around its smallest document and
-verified exactly.  Large gatherings are cut into blocks, and every two blocks
-are a task of their own that returns a spanning forest, never all pairs.
+Sets with a common signature are gathered around its smallest document.  Large
+gatherings are cut into blocks, and every two blocks are a task of their own.
+A task first compares small sketches, the numbers of shingles by hash class:
+their distance is never more than the sets', so what it rules out can't link.
+Only sets that are left are moved and verified exactly, and a task returns a
+spanning forest, never all pairs.
 """
 
 from __future__ import annotations
@@ -154,6 +157,52 @@ def set_ids(shingles: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return out[0], out[1]
 
 
+def sketches(shingles: np.ndarray, at: np.ndarray) -> list[bytes]:
+    """Counts of shingles by hash class, a byte each; about six shingles a class."""
+    sizes = np.diff(at)
+    classes = 1 << np.maximum(4, np.floor(np.log2(np.maximum(sizes, 1) / 6 + 1e-9)).astype(np.int64))
+    base = np.concatenate([[0], np.cumsum(classes)])
+    value = mix(shingles ^ _U(0x3C6EF372FE94F82B)).astype(np.int64)
+    cell = np.repeat(base[:-1], sizes) + (value & np.repeat(classes - 1, sizes))
+    raw = np.minimum(np.bincount(cell, minlength=base[-1]), 255).astype(np.uint8).tobytes()
+    return [raw[a:b] for a, b in zip(base[:-1].tolist(), base[1:].tolist())]
+
+
+def propagate(near: np.ndarray) -> np.ndarray:
+    """For each row of a symmetric relation the smallest index of its component."""
+    m = len(near)
+    label = np.arange(m)
+    while True:
+        low = np.where(near, label[None, :], m).min(axis=1)
+        low = low[low]
+        if (low == label).all():
+            return label
+        label = low
+
+
+def possible_parts(sizes: np.ndarray, held: list[bytes], part: int, whole: int) -> np.ndarray:
+    """Components of the pairs that their sketches do not rule out.
+
+    Linked sets differ in at most (whole - part) / (whole + part) of their
+    sizes' sum; sketches of different widths are folded to the narrowest.
+    """
+    m, width = len(held), min(map(len, held))
+    grid = np.stack([np.frombuffer(h, np.uint8).reshape(-1, width).sum(axis=0, dtype=np.int32) for h in held])
+    order = np.argsort(sizes, kind="stable")
+    grid, sizes = grid[order], sizes[order]
+    last = np.searchsorted(sizes * part, sizes * whole, side="right")
+    near = np.eye(m, dtype=bool)
+    for i in range(m - 1):
+        j = slice(i + 1, int(last[i]))
+        if j.start < j.stop:
+            apart = np.abs(grid[j] - grid[i]).sum(axis=1)
+            near[i, j] = apart * (whole + part) <= (sizes[i] + sizes[j]) * (whole - part)
+    label = propagate(near | near.T)
+    out = np.empty(m, np.int64)
+    out[order] = order[label]
+    return out
+
+
 def linked_parts(sets: list[np.ndarray], part: int, whole: int, columns: int = 4096) -> np.ndarray:
     """For each set the smallest index of its component by exact links (blocked products of 0/1 rows)."""
     m = len(sets)
@@ -174,13 +223,7 @@ def linked_parts(sets: list[np.ndarray], part: int, whole: int, columns: int = 4
         common += grid @ grid.T
     near = whole * common >= part * (sizes[:, None] + sizes[None, :] - common)
     np.fill_diagonal(near, True)
-    label = np.arange(m)
-    while True:
-        low = np.where(near, label[None, :], m).min(axis=1)
-        low = low[low]
-        if (low == label).all():
-            return label
-        label = low
+    return propagate(near)
 
 
 def _columns(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -212,10 +255,10 @@ def jaccard_components(docs: DataFrame, width: int = 5, part: int = 80, whole: i
         for keys, shingles, at in _parts(batches, width):
             one, two = set_ids(shingles, at)
             yield pa.RecordBatch.from_arrays(
-                [keys.cast(pa.int64()), pa.array(np.diff(at)), pa.array(one.view(np.int64)), pa.array(two.view(np.int64))],
-                names=["doc_id", "n_shingles", "h1", "h2"])
+                [keys.cast(pa.int64()), pa.array(np.diff(at)), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)),
+                 pa.array(sketches(shingles, at), pa.binary())], names=["doc_id", "n_shingles", "h1", "h2", "sketch"])
 
-    sets = materialise(rows.mapInArrow(profile, "doc_id long, n_shingles long, h1 long, h2 long"), "sets")
+    sets = materialise(rows.mapInArrow(profile, "doc_id long, n_shingles long, h1 long, h2 long, sketch binary"), "sets")
     usable = sets.where("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = materialise(usable.groupBy("n_shingles", "h1", "h2").agg(F.min("doc_id").alias("rep")), "classes")
     member = materialise(usable.join(classes, ["n_shingles", "h1", "h2"]).select(
@@ -259,24 +302,36 @@ def jaccard_components(docs: DataFrame, width: int = 5, part: int = 80, whole: i
     around = around.join(names, around["hub"] == names["id"]).select(F.col("rep").alias("hub"), "a").where("hub <> a")
     around = materialise(around.distinct(), "around")
     around = around.unionByName(around.select("hub", F.col("hub").alias("a")).distinct())
-    sizes = member.where("doc_id = rep").select(F.col("rep").alias("a"), "n_shingles")
-    around = materialise(around.join(sizes, "a"), "around_sizes")
-    weight = around.groupBy("hub").agg(F.greatest(
-        F.ceil(F.count(F.lit(1)) / BLOCK_SETS), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    own = usable.join(member.where("doc_id = rep").select("doc_id"), "doc_id", "left_semi").select(
+        F.col("doc_id").alias("a"), "n_shingles", "sketch")
+    weight = materialise(around.join(own.select("a", "n_shingles"), "a").groupBy("hub").agg(F.greatest(
+        F.ceil(F.count(F.lit(1)) / BLOCK_SETS), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int").alias("blocks")),
+        "weight")
     tiles = around.join(weight, "hub").withColumn("b", F.pmod(F.xxhash64("a"), F.col("blocks")).cast("int")).withColumn(
         "o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
         "hub", "a", F.least("b", "o").alias("lo"), F.greatest("b", "o").alias("hi"))
 
+    def sift(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values(["a", "n_shingles"])
+        label = possible_parts(frame["n_shingles"].to_numpy(np.int64), list(frame["sketch"]), part, whole)
+        kept = np.bincount(label, minlength=len(label))[label] > 1
+        return frame[["hub", "lo", "hi", "a"]].assign(label=label)[kept].drop_duplicates()
+
+    left = materialise(tiles.join(own, "a").groupBy("hub", "lo", "hi").applyInPandas(
+        sift, "hub long, lo int, hi int, a long, label long"), "sifted")
+
     def hash_sets(batches):
-        for keys, shingles, at in _parts(batches, width):
-            raw = memoryview(shingles.tobytes())
-            yield pa.RecordBatch.from_arrays(
-                [keys.cast(pa.int64()), pa.array([raw[8 * x:8 * y] for x, y in zip(at[:-1].tolist(), at[1:].tolist())],
-                                                 pa.binary())], names=["a", "shingles"])
+        for batch in batches:
+            done = 0
+            for keys, shingles, at in _parts([batch], width):
+                raw = memoryview(shingles.tobytes())
+                found = pa.array([raw[8 * x:8 * y] for x, y in zip(at[:-1].tolist(), at[1:].tolist())], pa.binary())
+                rest = [batch.column(c).slice(done, len(keys)) for c in range(2, 6)]
+                done += len(keys)
+                yield pa.RecordBatch.from_arrays([keys, found, *rest], names=["a", "shingles", "hub", "lo", "hi", "label"])
 
-    wanted = around.select(F.col("a").alias("doc_id")).distinct()
-    fetched = rows.join(wanted, "doc_id", "left_semi").mapInArrow(hash_sets, "a long, shingles binary")
-    placed = tiles.join(materialise(fetched, "fetched"), "a")
+    placed = rows.join(left, rows["doc_id"] == left["a"]).select("doc_id", "text", "hub", "lo", "hi", "label").mapInArrow(
+        hash_sets, "a long, shingles binary, hub long, lo int, hi int, label long")
 
     def verify(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("a")
@@ -285,7 +340,7 @@ def jaccard_components(docs: DataFrame, width: int = 5, part: int = 80, whole: i
         other = label != np.arange(len(ids))
         return pd.DataFrame({"u": ids[other], "v": ids[label[other]]})
 
-    edges = placed.groupBy("hub", "lo", "hi").applyInPandas(verify, "u long, v long")
+    edges = placed.groupBy("hub", "lo", "hi", "label").applyInPandas(verify, "u long, v long")
     # an id with several sets joins their classes
     twice = member.groupBy("doc_id").agg(F.min("rep").alias("v"), F.max("rep").alias("w")).where("v <> w")
     several = member.join(twice, "doc_id").select(F.col("rep").alias("u"), "v")
