@@ -9,7 +9,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quarrystone.llm.common import materialise
+from quarrystone.llm.common import materialise, release
 from quarrystone.llm.exact_dedup import keep_one
 from quarrystone.llm.mixing import mixed_documents
 from quarrystone.llm.ngram_join import keep_first
@@ -17,28 +17,39 @@ from quarrystone.llm.packing import pack_sequences
 from quarrystone.llm.quality import keep_good, train
 
 
+def _begin(spark: SparkSession, docs: DataFrame) -> None:
+    """Free the tables of the stage before, unless ``docs`` still reads them."""
+    if not any("/quarrystone/" in f and "/stage-" not in f for f in docs.inputFiles()):
+        release(spark)
+
+
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier rejects go."""
+    _begin(spark, docs)
     return keep_good(docs, train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of texts equal but for white space, the longest original stays."""
+    _begin(spark, docs)
     return keep_one(docs)
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents linked by word 5-grams at a similarity of 0.8, the smallest id stays."""
+    _begin(spark, docs)
     return keep_first(docs, width=5, part=80, whole=100)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix of sources draws them."""
+    _begin(spark, docs)
     return mixed_documents(docs)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the mix, packed into sequences of 2048 tokens."""
+    _begin(spark, docs)
     return pack_sequences(docs, public_tokenizers.path("byte_bpe_50k.json"), capacity=2048)
 
 
