@@ -13,14 +13,19 @@ KEPT = "stage-"
 _WRITTEN: list[str] = []
 
 
-def release(spark: SparkSession) -> None:
-    """Delete the intermediate tables written so far, all but a pipeline's stages.
+def written() -> int:
+    """How many intermediate tables there are so far; a mark for ``release``."""
+    return len(_WRITTEN)
+
+
+def release(spark: SparkSession, since: int = 0) -> None:
+    """Delete the intermediate tables written after a mark, all but a pipeline's stages.
 
     Only for a point where no result that reads them is still to be written,
     such as the start of a stage whose input was written and read again.
     """
     jvm = spark._jvm
-    while _WRITTEN:
+    while len(_WRITTEN) > since:
         path = jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 

@@ -25,6 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarrystone.llm import tokens
 from quarrystone.llm.common import connected_components, materialise
 from quarrystone.llm.tokens import slices, utf8
 
@@ -48,12 +49,13 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(33))
 
 
-def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct shingle hashes of each text, in a row, and where each text's begin."""
+def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of each text (A-Z lower-cased), in a row, and where each text's begin."""
     n = len(offsets) - 1
     data, offsets = _LOWER[data[offsets[0]:offsets[-1]]], offsets - offsets[0]
+    nothing = np.empty(0, np.uint64), np.zeros(n + 1, np.int64)
     if len(data) == 0:
-        return np.empty(0, np.uint64), np.zeros(n + 1, np.int64)
+        return nothing
     white = _WHITE[data]
     new = ~white
     new[1:] &= white[:-1]
@@ -61,20 +63,33 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.
     new[begin] = ~white[begin]
     starts = np.flatnonzero(new)
     if not len(starts):
-        return np.empty(0, np.uint64), np.zeros(n + 1, np.int64)
+        return nothing
     # a word with the white space after it; a word that ends its text has none of the next text's letters
     ends = np.append(starts, len(data)).astype(np.int32)
     words = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(ends), pa.py_buffer(data.tobytes())])
     coded = words.dictionary_encode()
     table = np.fromiter((xxhash.xxh3_64_intdigest(w.strip()) for w in coded.dictionary.to_pylist()), np.uint64,
                         len(coded.dictionary))
-    h = table[coded.indices.to_numpy()]
-    first = np.searchsorted(starts, offsets)
-    counts = np.diff(first)
-    out, at = [], np.zeros(n + 1, np.int64)
+    return table[coded.indices.to_numpy()], np.searchsorted(starts, offsets)
+
+
+def rolled_hashes(h: np.ndarray, width: int) -> np.ndarray:
+    """The hash of ``width`` words from each word on (the last ones are not whole)."""
     rolled = h.copy()
-    for j in range(1, width):
+    for j in range(1, min(width, len(h))):
         rolled[:len(h) - j] = mix(rolled[:len(h) - j] * _U(0x9E3779B97F4A7C15) + h[j:])
+    return rolled
+
+
+def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct shingle hashes of each text, in a row, and where each text's begin."""
+    n = len(offsets) - 1
+    h, first = word_hashes(data, offsets)
+    if not len(h):
+        return h, np.zeros(n + 1, np.int64)
+    counts = np.diff(first)
+    out, at = [], np.zeros(n + 1, np.int64)
+    rolled = rolled_hashes(h, width)
     for d in range(n):
         c = int(counts[d])
         if c == 0:
@@ -231,10 +246,11 @@ def _columns(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _parts(batches, width: int):
+    tokens.forget()  # workers are used again: their cache of pieces makes room for sets
     for batch in batches:
         data, offsets = utf8(batch.column(1))
         keys = batch.column(0)
-        for lo, hi in slices(offsets, 4 << 20):
+        for lo, hi in slices(offsets, 1 << 20):
             yield keys.slice(lo, hi - lo), *shingle_sets(data, offsets[lo:hi + 1], width)
 
 

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarrystone.llm.tokens import utf8
+from quarrystone.llm.tokens import forget, utf8
 
 MAX_TRAINING = 20_000
 HELD_OUT = 5
@@ -213,6 +213,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         F.broadcast(sample), F.col("_id") == F.col("_label_id")).select("_id", "_text", "_y")
 
     def measure(batches):
+        forget()
         for b in batches:
             x = _matrix(b.column(1))
             yield pa.RecordBatch.from_arrays(
@@ -234,6 +235,7 @@ def score(docs: DataFrame, model: AdditiveModel, id_col: str = "doc_id", text_co
     import pyarrow as pa
 
     def look_up(batches):
+        forget()
         for b in batches:
             s = model.score(_matrix(b.column(1))) if b.num_rows else np.empty(0)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(s), pa.array(
@@ -249,6 +251,7 @@ def keep_good(docs: DataFrame, model: AdditiveModel, text_col: str = "text") ->
     def keep(frames):
         import pyarrow as pa
 
+        forget()
         for f in frames:
             if f.num_rows:
                 good = model.score(_matrix(f.column(f.schema.get_field_index(text_col)))) >= THRESHOLD

@@ -13,6 +13,7 @@ from quarrystone.llm import mixing as _mixing
 from quarrystone.llm import ngram_join as _ngram
 from quarrystone.llm import packing as _packing
 from quarrystone.llm import quality as _quality
+from quarrystone.llm import substring_dedup as _substring
 from quarrystone.llm import token_files as _token_files
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -39,6 +40,10 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _quality.score(docs, _quality.train(docs, _table(spark, sf_dir, "labels")))
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _substring.repeated_passages(_table(spark, sf_dir, "documents"), min_words=50)
+
+
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _token_files.token_round_trip(_table(spark, sf_dir, "documents"), VOCABULARY)
 
@@ -68,6 +73,7 @@ QUERIES = {
     "op2_license_scan": op2_license_scan,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_quality_classifier": op4_quality_classifier,
+    "op5_substring_dedup": op5_substring_dedup,
     "op6_token_files": op6_token_files,
     "op7_chat_formatting": op7_chat_formatting,
     "op8_exact_dedup": op8_exact_dedup,

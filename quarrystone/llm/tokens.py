@@ -45,7 +45,7 @@ CLASS, BORDER = _classes(), _borders()
 class PieceTokenizer:
     """Ids for batches of texts.  ``cache_limit`` bounds the memory of the piece cache."""
 
-    def __init__(self, path: str, cache_limit: int = 600_000, end_id: int = 0):
+    def __init__(self, path: str, cache_limit: int = 400_000, end_id: int = 0):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -139,6 +139,11 @@ def tokenizer(path: str) -> PieceTokenizer:
     return _TOKENIZERS[path]
 
 
+def forget() -> None:
+    """Free the worker's tokenizers and their caches."""
+    _TOKENIZERS.clear()
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and offsets of an Arrow string column; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -161,7 +166,7 @@ def slices(offsets: np.ndarray, most: int):
         lo = hi
 
 
-def encoded(batches, path: str, most: int = 4 << 20):
+def encoded(batches, path: str, most: int = 2 << 20):
     """For Arrow batches of (doc_id, text): doc ids, ids in a row and their offsets, in small parts."""
     tok = tokenizer(path)
     for batch in batches:
