@@ -9,7 +9,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quarrystone.llm.common import materialise, release
+from quarrystone.llm.common import materialise, release, written
 from quarrystone.llm.exact_dedup import keep_one
 from quarrystone.llm.mixing import mixed_documents
 from quarrystone.llm.ngram_join import keep_first
@@ -17,15 +17,21 @@ from quarrystone.llm.packing import pack_sequences
 from quarrystone.llm.quality import keep_good, train
 
 
-def _begin(spark: SparkSession, docs: DataFrame) -> None:
-    """Free the tables of the stage before, unless ``docs`` still reads them."""
-    if not any("/quarrystone/" in f and "/stage-" not in f for f in docs.inputFiles()):
-        release(spark)
+_mark = 0
+
+
+def _begin(spark: SparkSession, docs: DataFrame, first: bool = False) -> None:
+    """Free this pipeline's tables of the stage before, unless ``docs`` still reads them."""
+    global _mark
+    if first:
+        _mark = written()
+    elif not any("/quarrystone/" in f and "/stage-" not in f for f in docs.inputFiles()):
+        release(spark, _mark)
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier rejects go."""
-    _begin(spark, docs)
+    _begin(spark, docs, first=True)
     return keep_good(docs, train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
