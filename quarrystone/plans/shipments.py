@@ -14,11 +14,6 @@ DATE_FORMATS = ("yyyy-MM-dd", "MM/dd/yyyy", "dd-MMM-yy")
 STATUSES = {"cancelled": "cancelled", "delivered": "delivered", "in transit": "in_transit", "pending": "pending"}
 
 
-def month_names(c):
-    """``10-SEP-24`` as ``10-Sep-24``, which the date pattern reads."""
-    return F.when(F.col(c).rlike(r"^\d{2}-[A-Za-z]{3}-\d{2}$"), F.initcap(F.lower(c))).otherwise(F.col(c))
-
-
 def clean_shipments(raw: DataFrame) -> DataFrame:
     """Typed columns beside the raw text, which is kept."""
     t = trimmed(raw).withColumn("_date_text", F.concat_ws(
