@@ -346,7 +346,8 @@ def jaccard_components(docs: DataFrame, width: int = 5, part: int = 80, whole: i
                 done += len(keys)
                 yield pa.RecordBatch.from_arrays([keys, found, *rest], names=["a", "shingles", "hub", "lo", "hi", "label"])
 
-    placed = rows.join(left, rows["doc_id"] == left["a"]).select("doc_id", "text", "hub", "lo", "hi", "label").mapInArrow(
+    # the candidates grow with the input: they are never broadcast, at any size
+    placed = rows.join(left.hint("merge"), rows["doc_id"] == left["a"]).select("doc_id", "text", "hub", "lo", "hi", "label").mapInArrow(
         hash_sets, "a long, shingles binary, hub long, lo int, hi int, label long")
 
     def verify(frame: pd.DataFrame) -> pd.DataFrame:
