@@ -96,7 +96,11 @@ class PieceTokenizer:
             cls[1:][high & (data[1:] != 0x97) & (data[1:] != 0xB7)] = LETTER
         new = np.empty(len(data), bool)
         new[1:] = BORDER[(cls[:-1] << 3) | cls[1:]]
-        new[offsets[:-1][offsets[:-1] < len(data)]] = True
+        begin = offsets[:-1][offsets[:-1] < len(data)]
+        new[begin] = True
+        # the last of several white characters is a piece of its own only beside what follows: no border after those
+        new[1:] &= new[:-1] | (cls[:-1] != WHITE)
+        new[begin] = True
         starts = np.flatnonzero(new)
         ends = np.append(starts, len(data)).astype(np.int32)
         pieces = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(ends), pa.py_buffer(raw)])

@@ -31,6 +31,21 @@ def test_piece_cache_gives_the_ids_of_the_whole_text():
         assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:])] == [whole(t) for t in texts[lo:lo + 50]]
 
 
+def test_piece_cache_without_the_special_token():
+    rng = random.Random(2)
+    alphabet = ["a", "Bc", "é", " ", "  ", "\n", "\n\n", "\t", "\r\n", ".", "'", "'s", "-", "12", "\u00a0", "\u3000", "—", "字", "_", "\x85"]
+    texts = ["x\n\ny", "x \ny", "x\n y", "\n\ny", "a\n", "b", "a\n\n", "b", "\u3000\ny", "one.\n\nTwo\t\t3\r\n'q'"]
+    texts += ["".join(rng.choice(alphabet) for _ in range(rng.randrange(30))) for _ in range(3000)]
+    tok = tokens.PieceTokenizer(PATH, cache_limit=500)
+    tok._whole = None  # every batch takes the way of pieces
+    full = Tokenizer.from_file(PATH)
+    data, offsets = tokens.utf8(pa.array(texts))
+    for lo in range(0, len(texts), 50):
+        ids, at = tok.encode(data, offsets[lo:lo + 51])
+        assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:])] == [
+            full.encode(t, add_special_tokens=False).ids + [0] for t in texts[lo:lo + 50]]
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_simple8b_round_trip(seed):
     rng = np.random.default_rng(seed)
