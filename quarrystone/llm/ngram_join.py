@@ -32,7 +32,7 @@ from quarrystone.llm.tokens import slices, utf8
 BLOCK_SETS = 512
 BLOCK_SHINGLES = 1_500_000
 SEEN = 500_000  # sets that a task remembers so as to sign copies once
-SIZE_LIMIT = 1 << 26
+SIZE_LIMIT = 1 << 31  # more shingles than any text has: a value is below 2 GB
 _U = np.uint64
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32

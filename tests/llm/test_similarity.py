@@ -148,3 +148,12 @@ def test_quantisation_bound_is_rigorous():
     approx = embedding_dedup.integer_products(q, q) * scale[:, None] * scale[None, :]
     bound = (1 + lost[:, None]) * lost[None, :] + lost[:, None]
     assert (np.abs(unit @ unit.T - approx) <= bound + 1e-6).all()
+
+
+@pytest.mark.parametrize("part, whole", [(90, 100), (80, 100)])
+def test_bands_hold_sets_of_any_size(part, whole):
+    bands = ngram_join.Bands(part, whole)
+    for n in (1, 1000, (1 << 26) + 9, 1 << 27, 1 << 30, (1 << 31) - 1):
+        low, high = bands.band(np.array([n, min(n * whole // part, (1 << 31) - 1)]))
+        assert high - low <= 1
+        assert bands.k[low] >= 2 * n * (whole - part) // (whole + part)
