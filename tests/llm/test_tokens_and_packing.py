@@ -23,7 +23,7 @@ def test_piece_cache_gives_the_ids_of_the_whole_text():
     rng = random.Random(1)
     alphabet = ["a", "B", "é", "É", " ", "  ", "\n", "\t", ".", ",", "'", "'s", "-", "1", "23", " ", "—", "字", "_", "\x00", "<|endoftext|>"]
     texts = ODD + ["".join(rng.choice(alphabet) for _ in range(rng.randrange(30))) for _ in range(1500)]
-    tok = tokens.PieceTokenizer(PATH, cache_limit=500)
+    tok = tokens.PieceTokenizer(PATH, most=500)
     data, offsets = tokens.utf8(pa.array(texts))
     for lo in range(0, len(texts), 50):
         part = offsets[lo:lo + 51]
@@ -36,8 +36,8 @@ def test_piece_cache_without_the_special_token():
     alphabet = ["a", "Bc", "é", " ", "  ", "\n", "\n\n", "\t", "\r\n", ".", "'", "'s", "-", "12", "\u00a0", "\u3000", "—", "字", "_", "\x85"]
     texts = ["x\n\ny", "x \ny", "x\n y", "\n\ny", "a\n", "b", "a\n\n", "b", "\u3000\ny", "one.\n\nTwo\t\t3\r\n'q'"]
     texts += ["".join(rng.choice(alphabet) for _ in range(rng.randrange(30))) for _ in range(3000)]
-    tok = tokens.PieceTokenizer(PATH, cache_limit=500)
-    tok._whole = None  # every batch takes the way of pieces
+    tok = tokens.PieceTokenizer(PATH, most=500)
+    tok.special = []  # no text goes to the library whole
     full = Tokenizer.from_file(PATH)
     data, offsets = tokens.utf8(pa.array(texts))
     for lo in range(0, len(texts), 50):
@@ -46,6 +46,20 @@ def test_piece_cache_without_the_special_token():
             full.encode(t, add_special_tokens=False).ids + [0] for t in texts[lo:lo + 50]]
 
 
+def test_words_that_go_to_the_library_together():
+    """Many new words in a batch, long ones too, and hardly any that are remembered."""
+    rng = random.Random(3)
+    letters = "abcdefghéü19.,'—"
+    texts = [" ".join("".join(rng.choice(letters) for _ in range(rng.randrange(1, 40))) for _ in range(rng.randrange(60))) for _ in range(600)]
+    tok = tokens.PieceTokenizer(PATH, most=1000)
+    full = Tokenizer.from_file(PATH)
+    data, offsets = tokens.utf8(pa.array(texts))
+    for lo, hi in tokens.slices(offsets, 20_000):
+        ids, at = tok.encode(data, offsets[lo:hi + 1])
+        assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:])] == [
+            full.encode(t, add_special_tokens=False).ids + [0] for t in texts[lo:hi]]
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_simple8b_round_trip(seed):
     rng = np.random.default_rng(seed)
