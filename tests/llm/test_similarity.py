@@ -100,7 +100,7 @@ def test_sketches_never_rule_out_a_link():
             sets.append(np.unique(np.concatenate([keep, rng.integers(0, 2 ** 63, rng.integers(0, n // 10 + 1)).astype(np.uint64)])))
         at = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
         held = ngram_join.sketches(np.concatenate(sets), at)
-        rough = ngram_join.possible_parts(np.diff(at), held, 90, 100)
+        rough = ngram_join.possible_parts(np.diff(at), held, np.arange(len(held)), 90, 100)
         exact = ngram_join.linked_parts(sets, 90, 100)
         for a in range(len(sets)):
             assert len({rough[b] for b in np.flatnonzero(exact == exact[a])}) == 1

@@ -15,8 +15,11 @@ ODD = ["", "a  b   c\n\n d\t e \n", "it's l'eau  foo bar — x…y 12ab3 　z",
        " \x1c a\x85b ​", "  ", "\n", "x" * 5000, "日本語 text, 漢字.", "a  b  ", "_a_ b__c", "don't we'll I'm", "!" * 300]
 
 
+FULL = Tokenizer.from_file(PATH)
+
+
 def whole(text):
-    return Tokenizer.from_file(PATH).encode(text or "", add_special_tokens=False).ids + [0]
+    return FULL.encode(text or "", add_special_tokens=False).ids + [0]
 
 
 def test_piece_cache_gives_the_ids_of_the_whole_text():
@@ -38,12 +41,11 @@ def test_piece_cache_without_the_special_token():
     texts += ["".join(rng.choice(alphabet) for _ in range(rng.randrange(30))) for _ in range(3000)]
     tok = tokens.PieceTokenizer(PATH, most=500)
     tok.special = []  # no text goes to the library whole
-    full = Tokenizer.from_file(PATH)
     data, offsets = tokens.utf8(pa.array(texts))
     for lo in range(0, len(texts), 50):
         ids, at = tok.encode(data, offsets[lo:lo + 51])
         assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:])] == [
-            full.encode(t, add_special_tokens=False).ids + [0] for t in texts[lo:lo + 50]]
+            FULL.encode(t, add_special_tokens=False).ids + [0] for t in texts[lo:lo + 50]]
 
 
 def test_words_that_go_to_the_library_together():
@@ -52,12 +54,11 @@ def test_words_that_go_to_the_library_together():
     letters = "abcdefghéü19.,'—"
     texts = [" ".join("".join(rng.choice(letters) for _ in range(rng.randrange(1, 40))) for _ in range(rng.randrange(60))) for _ in range(600)]
     tok = tokens.PieceTokenizer(PATH, most=1000)
-    full = Tokenizer.from_file(PATH)
     data, offsets = tokens.utf8(pa.array(texts))
     for lo, hi in tokens.slices(offsets, 20_000):
         ids, at = tok.encode(data, offsets[lo:hi + 1])
         assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:])] == [
-            full.encode(t, add_special_tokens=False).ids + [0] for t in texts[lo:hi]]
+            FULL.encode(t, add_special_tokens=False).ids + [0] for t in texts[lo:hi]]
 
 
 @pytest.mark.parametrize("seed", range(4))
