@@ -8,16 +8,21 @@ holds at most one difference, and the two of its subparts without it are equal
 in both sets.  Each choice of two subparts of each part is one signature, so
 linked sets always share one and no link is lost.
 
-Sets with a common signature are gathered around its smallest document.  Large
-gatherings are cut into blocks, and every two blocks are a task of their own.
-A task first compares small sketches, the numbers of shingles by hash class:
-their distance is never more than the sets', so what it rules out can't link.
-Only sets that are left are moved and verified exactly, and a task returns a
-spanning forest, never all pairs.
+Sets with a common signature meet around its smallest document.  Small sketches,
+the numbers of shingles by hash class, are compared before any set moves: their
+distance is never more than the sets', so what they rule out can't link.  First
+each set is verified against the one document that it shares most signatures
+with, which joins nearly all copies to classes.  What is left are possible pairs
+across classes: their components are taken over all gatherings, so that a set
+moves once however many signatures it shares, and verified exactly.  Large
+gatherings and components are cut into blocks, and every two blocks are a task
+of their own.  Tasks return spanning forests, never all pairs.
 """
 
 from __future__ import annotations
 
+from itertools import combinations
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -34,6 +39,8 @@ BLOCK_SHINGLES = 1_500_000
 SEEN = 500_000  # sets that a task remembers so as to sign copies once
 SIZE_LIMIT = 1 << 31  # more shingles than any text has: a value is below 2 GB
 _U = np.uint64
+SPREAD = _U(0x9E3779B97F4A7C15), _U(0xD6E8FEB86659FD93)
+TWO_OF_FIVE = np.array([[k in pair for pair in combinations(range(5), 2)] for k in range(5)], np.uint64)
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _WHITE = np.zeros(256, bool)
@@ -132,32 +139,66 @@ def signatures(shingles: np.ndarray, at: np.ndarray, bands: Bands) -> tuple[np.n
 
     Every set signs for its own band and for the next larger one.  A band whose
     sets may not differ at all needs none: equal sets are one class already.
+
+    Two subparts without a shingle would match too many sets.  The third then
+    differs in at most one shingle, so it signs whole and without each of its
+    shingles.  If that leaves nothing either, the next part decides: parts stand
+    in a ring and hold fewer than two differences on average, so from some good
+    part on every run of ``n`` parts has at most ``2n - 1`` of them.  The part
+    after it has at most three, and two of its five subparts none.
     """
     sizes = np.diff(at)
     sets, sigs = [], []
     low, high = shingles & _U(0xFFFFFFFF), shingles >> _U(32)
     value = mix(shingles + _U(0x1234567))
-    a, b = (value & _U((1 << 40) - 1)).astype(np.float64), (value >> _U(40)).astype(np.float64)
-    sub = (low * _U(3)) >> _U(32)
+    left, right = value & _U((1 << 40) - 1), value >> _U(40)
+    worth = left * SPREAD[0] + right * SPREAD[1]
+    left, right = left.astype(np.float64), right.astype(np.float64)
+    sub = ((low * _U(3)) >> _U(32)).astype(np.int64)
+
+    def totals(cell: np.ndarray, which: np.ndarray, n: int) -> np.ndarray:
+        """Sums of ``worth`` by cell, from exact sums of integers below 2**53."""
+        return (np.bincount(cell, left[which], n).astype(np.uint64) * SPREAD[0]
+                + np.bincount(cell, right[which], n).astype(np.uint64) * SPREAD[1])
+
+    def sign(content: np.ndarray, salt: np.ndarray, owner: np.ndarray) -> None:
+        sigs.append(mix(content ^ mix(salt)).ravel())
+        sets.append(owner)
+
     for up in (0, 1):
         band = bands.band(np.maximum(sizes, 1)) + up
         parts = np.where((sizes > 0) & (bands.k[band] > 0), bands.parts[band], 0)
         base = np.concatenate([[0], np.cumsum(parts)])
-        if base[-1] == 0:
+        n = int(base[-1])
+        if n == 0:
             continue
-        mine = np.repeat(parts > 0, sizes)
-        cell = (high * np.repeat(parts, sizes).astype(np.uint64)) >> _U(32)
-        cell = ((cell + np.repeat(base[:-1], sizes).astype(np.uint64)) * _U(3) + sub).astype(np.int64)[mine]
-        # exact sums of integers below 2**53
-        s = (np.bincount(cell, a[mine], 3 * base[-1]).astype(np.uint64) * _U(0x9E3779B97F4A7C15)
-             + np.bincount(cell, b[mine], 3 * base[-1]).astype(np.uint64) * _U(0xD6E8FEB86659FD93)).reshape(-1, 3)
-        both = s.sum(axis=1, dtype=np.uint64)[:, None] - s
+        mine = np.flatnonzero(np.repeat(parts > 0, sizes))
+        doc = np.repeat(np.arange(len(sizes)), sizes)[mine]
+        part = ((high[mine] * parts[doc].astype(np.uint64)) >> _U(32)).astype(np.int64) + base[doc]
+        cell = part * 3 + sub[mine]
+        total, held = totals(cell, mine, 3 * n), np.bincount(cell, minlength=3 * n)
+        whole, full = total.reshape(-1, 3).sum(axis=1, dtype=np.uint64), held.reshape(-1, 3).sum(axis=1)
         owner = np.repeat(np.arange(len(sizes)), parts)
-        part = np.arange(base[-1]) - base[owner]
-        salt = mix(((band[owner].astype(np.uint64) << _U(34)) + part.astype(np.uint64) * _U(3))[:, None]
-                   + np.arange(3, dtype=np.uint64)[None, :])
-        sigs.append(mix(both ^ salt).ravel())
-        sets.append(np.repeat(owner, 3))
+        salt = (band[owner].astype(np.uint64) << _U(36)) + (np.arange(n) - base[owner]).astype(np.uint64) * _U(16)
+        # 0 to 2: the two subparts but this one; 3 to 5: this one, the others being empty; 6 on: two of the next part's five
+        alone = held == np.repeat(full, 3)
+        two = np.flatnonzero(~alone)
+        sign(whole[two // 3] - total[two], salt[two // 3] + (two % 3).astype(np.uint64), owner[two // 3])
+        third = np.flatnonzero(alone & (held > 0))
+        sign(total[third], salt[third // 3] + (third % 3 + 3).astype(np.uint64), owner[third // 3])
+        less = np.flatnonzero((alone & (held > 1))[cell])
+        c = cell[less]
+        sign(total[c] - worth[mine[less]], salt[c // 3] + (c % 3 + 3).astype(np.uint64), owner[c // 3])
+        rare = np.flatnonzero(full < 2)
+        if not len(rare):
+            continue
+        start = base[owner[rare]]
+        row = np.full(n, -1)
+        row[start + (rare - start + 1) % parts[owner[rare]]] = np.arange(len(rare))
+        near = np.flatnonzero(row[part] >= 0)
+        fifth = row[part[near]] * 5 + ((right[mine[near]].astype(np.int64) * 5) >> 24)
+        content = totals(fifth, mine[near], 5 * len(rare)).reshape(-1, 5) @ TWO_OF_FIVE
+        sign(content, salt[rare][:, None] + np.arange(6, 16, dtype=np.uint64), np.repeat(owner[rare], 10))
     if not sigs:
         return np.empty(0, np.uint64), np.empty(0, np.int64)
     return np.concatenate(sigs), np.concatenate(sets)
@@ -195,23 +236,26 @@ def propagate(near: np.ndarray) -> np.ndarray:
         label = low
 
 
-def possible_parts(sizes: np.ndarray, held: list[bytes], part: int, whole: int) -> np.ndarray:
-    """Components of the pairs that their sketches do not rule out.
+def folded(held: list[bytes], width: int) -> np.ndarray:
+    """Sketches as rows of equal width; wider ones are folded."""
+    return np.stack([np.frombuffer(h, np.uint8).reshape(-1, width).sum(axis=0, dtype=np.int32) for h in held])
+
+
+def possible_parts(sizes: np.ndarray, held: list[bytes], classes: np.ndarray, part: int, whole: int) -> np.ndarray:
+    """Components of the pairs of different classes that their sketches do not rule out.
 
-    Linked sets differ in at most (whole - part) / (whole + part) of their
-    sizes' sum; sketches of different widths are folded to the narrowest.
+    Linked sets differ in at most (whole - part) / (whole + part) of their sizes' sum.
     """
-    m, width = len(held), min(map(len, held))
-    grid = np.stack([np.frombuffer(h, np.uint8).reshape(-1, width).sum(axis=0, dtype=np.int32) for h in held])
+    m = len(held)
     order = np.argsort(sizes, kind="stable")
-    grid, sizes = grid[order], sizes[order]
+    grid, sizes, classes = folded(held, min(map(len, held)))[order], sizes[order], classes[order]
     last = np.searchsorted(sizes * part, sizes * whole, side="right")
     near = np.eye(m, dtype=bool)
     for i in range(m - 1):
         j = slice(i + 1, int(last[i]))
         if j.start < j.stop:
             apart = np.abs(grid[j] - grid[i]).sum(axis=1)
-            near[i, j] = apart * (whole + part) <= (sizes[i] + sizes[j]) * (whole - part)
+            near[i, j] = (apart * (whole + part) <= (sizes[i] + sizes[j]) * (whole - part)) & (classes[j] != classes[i])
     label = propagate(near | near.T)
     out = np.empty(m, np.int64)
     out[order] = order[label]
@@ -254,6 +298,118 @@ def _parts(batches, width: int):
             yield keys.slice(lo, hi - lo), *shingle_sets(data, offsets[lo:hi + 1], width)
 
 
+def _placed(rows: DataFrame, wanted: DataFrame, task: str, width: int) -> DataFrame:
+    """The sets of ids in ``wanted(a, tasks)`` for each of their ``tasks``; a text moves once.
+
+    The wanted grow with the input: they are never broadcast, at any size.
+    """
+
+    def hash_sets(batches):
+        for batch in batches:
+            done = 0
+            for keys, shingles, at in _parts([batch], width):
+                raw = memoryview(shingles.tobytes())
+                found = pa.array([raw[8 * x:8 * y] for x, y in zip(at[:-1].tolist(), at[1:].tolist())], pa.binary())
+                yield pa.RecordBatch.from_arrays([keys, found, batch.column(2).slice(done, len(keys))],
+                                                 names=["a", "shingles", "tasks"])
+                done += len(keys)
+
+    kind = wanted.schema["tasks"].dataType.simpleString()
+    held = rows.join(wanted.hint("merge"), rows["doc_id"] == wanted["a"]).select("doc_id", "text", "tasks").mapInArrow(
+        hash_sets, f"a long, shingles binary, tasks {kind}")
+    return held.select("a", "shingles", F.explode("tasks").alias("t")).select("a", "shingles", "t.*").repartition(*task.split())
+
+
+def _best_links(rows: DataFrame, star: DataFrame, own: DataFrame, width: int, part: int, whole: int) -> DataFrame:
+    """Links ``u, v`` of each set to the document that it shares most signatures with, where sketches allow it."""
+
+    def possible(batches):
+        for batch in batches:
+            sizes = np.stack([batch.column(c).to_numpy() for c in (3, 5)], axis=1)
+            keep = sizes.max(axis=1) * part <= sizes.min(axis=1) * whole
+            one, two = batch.column(4).to_pylist(), batch.column(6).to_pylist()
+            for k in np.flatnonzero(keep).tolist():
+                x, y = folded([one[k], two[k]], min(len(one[k]), len(two[k])))
+                keep[k] = np.abs(x - y).sum() * (whole + part) <= sizes[k].sum() * (whole - part)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(c).filter(pa.array(keep)) for c in range(3)], names=["hub", "a", "n"])
+
+    lead = own.select(F.col("a").alias("id"), F.col("n_shingles").alias("hub_shingles"), F.col("sketch").alias("hub_sketch"))
+    pairs = star.join(own, "a").join(lead, star["hub"] == lead["id"]).select(
+        "hub", "a", "n", "n_shingles", "sketch", "hub_shingles", "hub_sketch").mapInArrow(possible, "hub long, a long, n long")
+    best = materialise(pairs.groupBy("a").agg(F.max_by("hub", F.struct("n", -F.col("hub"))).alias("hub")), "best")
+    blocks = best.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / BLOCK_SETS).alias("blocks"))
+    asked = best.join(blocks, "hub").select("hub", F.pmod(F.xxhash64("a"), "blocks").alias("block"), "a")
+    asked = asked.withColumn("lead", F.lit(False)).unionByName(
+        asked.select("hub", "block", F.col("hub").alias("a")).distinct().withColumn("lead", F.lit(True)))
+    wanted = asked.groupBy("a").agg(F.collect_list(F.struct("hub", "block", "lead")).alias("tasks"))
+
+    def verify(batches):
+        """A hub's sets come first in its task and are held; the others pass by."""
+        key, leads = None, []
+        for batch in batches:
+            out = []
+            for hub, block, lead, a, raw in zip(*(c.to_pylist() for c in batch.columns)):
+                if (hub, block) != key:
+                    key, leads = (hub, block), []
+                mine = np.frombuffer(raw, np.uint64)
+                if lead:
+                    leads.append(mine)
+                    continue
+                for s in leads:
+                    common = len(np.intersect1d(s, mine, assume_unique=True))
+                    if whole * common >= part * (len(s) + len(mine) - common):
+                        out.append((a, hub))
+                        break
+            u, v = zip(*out) if out else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+
+    return _placed(rows, wanted, "hub block", width).sortWithinPartitions("hub", "block", F.desc("lead")).select(
+        "hub", "block", "lead", "a", "shingles").mapInArrow(verify, "u long, v long").distinct()
+
+
+def _tiled(members: DataFrame, key: str) -> DataFrame:
+    """``key, lo, hi`` added to members ``(key, a, n_shingles, ...)``: each two blocks of a large group are one tile."""
+    weight = members.groupBy(key).agg(F.greatest(
+        F.ceil(F.count(F.lit(1)) / BLOCK_SETS), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    return members.join(weight, key).withColumn("b", F.pmod(F.xxhash64("a"), F.col("blocks")).cast("int")).withColumn(
+        "o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("lo", F.least("b", "o")).withColumn(
+        "hi", F.greatest("b", "o")).drop("blocks", "b", "o")
+
+
+def _links_between(rows: DataFrame, star: DataFrame, own: DataFrame, found: DataFrame, width: int, part: int,
+                   whole: int) -> DataFrame:
+    """A spanning forest ``u, v`` of links within the possible pairs across classes."""
+    around = star.select("hub", "a").unionByName(star.select("hub", F.col("hub").alias("a")).distinct())
+    around = materialise(around.join(found, around["a"] == found["node"], "left").select(
+        "hub", "a", F.coalesce("component", "a").alias("class")), "around")
+    mixed = around.groupBy("hub").agg(F.min("class").alias("x"), F.max("class").alias("y")).where("x <> y").select("hub")
+    tiles = _tiled(around.join(mixed, "hub", "left_semi").join(own.select("a", "n_shingles"), "a"), "hub")
+
+    def sift(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values(["a", "size"])
+        label = possible_parts(frame["size"].to_numpy(np.int64), list(frame["sketch"]), frame["class"].to_numpy(), part, whole)
+        ids = frame["a"].to_numpy(np.int64)
+        other = ids[label] != ids
+        return pd.DataFrame({"u": ids[other], "v": ids[label[other]]})
+
+    sketched = own.select("a", F.col("n_shingles").alias("size"), "sketch")
+    left = tiles.drop("n_shingles").distinct().join(sketched, "a").groupBy("hub", "lo", "hi").applyInPandas(sift, "u long, v long")
+    groups = connected_components(left.distinct()).select(F.col("node").alias("a"), F.col("component").alias("group"))
+    weighed = groups.join(own.groupBy("a").agg(F.sum("n_shingles").alias("n_shingles")), "a")
+    wanted = _tiled(weighed, "group").groupBy("a").agg(F.collect_list(F.struct("group", "lo", "hi")).alias("tasks"))
+
+    def verify(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("a")
+        ids = frame["a"].to_numpy(np.int64)
+        label = linked_parts([np.frombuffer(x, np.uint64) for x in frame["shingles"]], part, whole)
+        other = ids[label] != ids
+        return pd.DataFrame({"u": ids[other], "v": ids[label[other]]})
+
+    return materialise(_placed(rows, wanted, "group lo hi", width).groupBy("group", "lo", "hi").applyInPandas(
+        verify, "u long, v long"), "between")
+
+
 def jaccard_components(docs: DataFrame, width: int = 5, part: int = 80, whole: int = 100,
                        id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: ``doc_id, n_shingles, component_id``.
@@ -297,7 +453,7 @@ def jaccard_components(docs: DataFrame, width: int = 5, part: int = 80, whole: i
     signed = rows.where("doc_id IS NOT NULL").mapInArrow(sign, "sig long, doc_id long")
 
     def gather(batches):
-        """Sorted signatures, read as a stream: every later document of one meets its first."""
+        """Sorted signatures, read as a stream: every later document of one meets its first; ``n`` signatures in common."""
         sig, hub = None, None
         for batch in batches:
             s, d = batch.column(0).to_numpy(), batch.column(1).to_numpy()
@@ -308,60 +464,26 @@ def jaccard_components(docs: DataFrame, width: int = 5, part: int = 80, whole: i
             hubs = np.where(begin >= 0, d[np.maximum(begin, 0)], hub if hub is not None else 0)
             sig, hub = s[-1], hubs[-1]
             other = hubs != d
-            pairs = np.unique(np.stack([hubs[other], d[other]], axis=1), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["hub", "doc_id"])
+            pairs, n = np.unique(np.stack([hubs[other], d[other]], axis=1), axis=0, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.array(n)],
+                                             names=["hub", "doc_id", "n"])
 
-    met = signed.repartition("sig").sortWithinPartitions("sig", "doc_id").mapInArrow(gather, "hub long, doc_id long")
-    met = materialise(met.distinct(), "met")
+    met = signed.repartition("sig").sortWithinPartitions("sig", "doc_id").mapInArrow(
+        gather, "hub long, doc_id long, n long").groupBy("hub", "doc_id").agg(F.sum("n").alias("n"))
     names = member.select(F.col("doc_id").alias("id"), "rep")
-    around = met.join(names, met["doc_id"] == names["id"]).select("hub", F.col("rep").alias("a"))
-    around = around.join(names, around["hub"] == names["id"]).select(F.col("rep").alias("hub"), "a").where("hub <> a")
-    around = materialise(around.distinct(), "around")
-    around = around.unionByName(around.select("hub", F.col("hub").alias("a")).distinct())
-    own = usable.join(member.where("doc_id = rep").select("doc_id"), "doc_id", "left_semi").select(
-        F.col("doc_id").alias("a"), "n_shingles", "sketch")
-    weight = materialise(around.join(own.select("a", "n_shingles"), "a").groupBy("hub").agg(F.greatest(
-        F.ceil(F.count(F.lit(1)) / BLOCK_SETS), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int").alias("blocks")),
-        "weight")
-    tiles = around.join(weight, "hub").withColumn("b", F.pmod(F.xxhash64("a"), F.col("blocks")).cast("int")).withColumn(
-        "o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "hub", "a", F.least("b", "o").alias("lo"), F.greatest("b", "o").alias("hi"))
-
-    def sift(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["a", "n_shingles"])
-        label = possible_parts(frame["n_shingles"].to_numpy(np.int64), list(frame["sketch"]), part, whole)
-        kept = np.bincount(label, minlength=len(label))[label] > 1
-        return frame[["hub", "lo", "hi", "a"]].assign(label=label)[kept].drop_duplicates()
-
-    left = materialise(tiles.join(own, "a").groupBy("hub", "lo", "hi").applyInPandas(
-        sift, "hub long, lo int, hi int, a long, label long"), "sifted")
-
-    def hash_sets(batches):
-        for batch in batches:
-            done = 0
-            for keys, shingles, at in _parts([batch], width):
-                raw = memoryview(shingles.tobytes())
-                found = pa.array([raw[8 * x:8 * y] for x, y in zip(at[:-1].tolist(), at[1:].tolist())], pa.binary())
-                rest = [batch.column(c).slice(done, len(keys)) for c in range(2, 6)]
-                done += len(keys)
-                yield pa.RecordBatch.from_arrays([keys, found, *rest], names=["a", "shingles", "hub", "lo", "hi", "label"])
-
-    # the candidates grow with the input: they are never broadcast, at any size
-    placed = rows.join(left.hint("merge"), rows["doc_id"] == left["a"]).select("doc_id", "text", "hub", "lo", "hi", "label").mapInArrow(
-        hash_sets, "a long, shingles binary, hub long, lo int, hi int, label long")
-
-    def verify(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("a")
-        ids = frame["a"].to_numpy(np.int64)
-        label = linked_parts([np.frombuffer(x, np.uint64) for x in frame["shingles"]], part, whole)
-        other = label != np.arange(len(ids))
-        return pd.DataFrame({"u": ids[other], "v": ids[label[other]]})
-
-    edges = placed.groupBy("hub", "lo", "hi", "label").applyInPandas(verify, "u long, v long")
+    star = met.join(names, met["doc_id"] == names["id"]).select("hub", F.col("rep").alias("a"), "n")
+    star = star.join(names, star["hub"] == names["id"]).select(F.col("rep").alias("hub"), "a", "n").where("hub <> a")
+    star = materialise(star.groupBy("hub", "a").agg(F.sum("n").alias("n")), "star")
+    own = materialise(usable.join(member.where("doc_id = rep").select("doc_id"), "doc_id", "left_semi").select(
+        F.col("doc_id").alias("a"), "n_shingles", "sketch"), "own")
     # an id with several sets joins their classes
     twice = member.groupBy("doc_id").agg(F.min("rep").alias("v"), F.max("rep").alias("w")).where("v <> w")
-    several = member.join(twice, "doc_id").select(F.col("rep").alias("u"), "v")
-    found = connected_components(edges.distinct().unionByName(several))
+    several = materialise(member.join(twice, "doc_id").select(F.col("rep").alias("u"), "v"), "several")
+    first = materialise(_best_links(rows, star, own, width, part, whole).unionByName(several), "links")
+    found = connected_components(first)
+    rest = _links_between(rows, star, own, found, width, part, whole)
+    if not rest.isEmpty():
+        found = connected_components(first.unionByName(rest))
     parts = member.join(found, member["rep"] == found["node"], "left").groupBy("doc_id").agg(
         F.min(F.coalesce("component", "rep")).alias("component_id"))
     return sets.select("doc_id", "n_shingles").join(materialise(parts, "parts"), "doc_id", "left").select(

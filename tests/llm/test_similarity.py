@@ -90,6 +90,26 @@ def test_jaccard_edge_cases(spark):
     assert {r["doc_id"] for r in kept.collect()} == {1}
 
 
+@pytest.mark.parametrize("part", [50, 80, 90])
+def test_linked_sets_always_share_a_signature(part):
+    """Sets that differ as much as a link allows, also where parts are empty or hold one shingle."""
+    rng = np.random.default_rng(part)
+    bands = ngram_join.Bands(part, 100)
+    linked = 0
+    for n in [*range(1, 40), 60, 100, 200, 300] * 12:
+        a = np.unique(rng.integers(0, 2 ** 64, n, dtype=np.uint64))
+        b = a[np.sort(rng.permutation(n)[:n - int(rng.integers(0, max(1, n * (100 - part) // 100 + 1)))])]
+        most = max(0, 100 * len(b) // part - n)  # shingles of its own that b may have
+        b = np.unique(np.concatenate([b, rng.integers(0, 2 ** 64, most, dtype=np.uint64)]))
+        common = len(np.intersect1d(a, b))
+        if not len(b) or 100 * common < part * (len(a) + len(b) - common) or common == len(a) == len(b):
+            continue
+        linked += 1
+        sigs, owner = ngram_join.signatures(np.concatenate([a, b]), np.array([0, len(a), len(a) + len(b)]), bands)
+        assert len(np.intersect1d(sigs[owner == 0], sigs[owner == 1])), (len(a), len(b), common)
+    assert linked > 100
+
+
 def test_sketches_never_rule_out_a_link():
     rng = np.random.default_rng(4)
     for n in (12, 60, 400, 3000):
