@@ -1,19 +1,23 @@
 """Mixing sources to target weights with a multivariate-hypergeometric splitting tree.
 
 Documents of a source are put in a random order by a hash and cut into blocks.
-A source's target is a whole number of passes over it plus a part of one more;
-the part is whole blocks in that order and, in the one block where it ends,
-documents that still fit.  The blocks that every source gives are an exact
-quota; a binary tree splits the vector of quotas between output shards, each
-time by one multivariate-hypergeometric draw, and each shard then takes the
-next blocks of each source's order, so no block is drawn twice in a pass.
-Inside a shard, documents are ordered by another hash.
+A source's target is a number of passes over it plus a part of one more; the
+part is whole blocks in that order and, in the one block where it ends, the
+documents that fill it best.  The blocks that every source gives are an exact
+quota.  A binary tree splits the vector of quotas between output shards, each
+time by one multivariate-hypergeometric draw; each task walks down to its own
+shards.  A shard takes the next blocks of each source's order, so no block is
+drawn twice in a pass, and orders its documents by another hash.  How often a
+document is taken is how many draws of its block there are.
 """
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,6 +30,7 @@ MOST_PASSES = 2.0
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARD_BLOCKS = 64
 BROADCAST_SOURCES = 20_000
+RUN = 4096  # blocks that are summed together first
 
 
 def targets(sizes: list[float], share: float = SHARE, most: float = MOST_PASSES,
@@ -51,44 +56,90 @@ def targets(sizes: list[float], share: float = SHARE, most: float = MOST_PASSES,
     return target.tolist()
 
 
-def split_quotas(quotas: np.ndarray, shards: int, seed: int) -> np.ndarray:
-    """``quotas`` (blocks by source) dealt to ``shards`` rows; columns sum to ``quotas`` exactly."""
-    out = np.zeros((shards, len(quotas)), np.int64)
-    todo = [(0, shards, quotas.astype(np.int64))]
+def deal(quotas: np.ndarray, shards: int, seed: int, first: int, last: int):
+    """The shards from ``first`` to ``last``: number, sources drawn from, first draw of each and draws of each.
+
+    Quotas (draws by source) are split in two again and again; a part of the
+    tree without a wanted shard is not entered, and draws depend on the place in
+    the tree alone, so any task deals a shard alike.
+    """
+    todo = [(0, shards, np.arange(len(quotas)), np.zeros(len(quotas), np.int64), quotas.astype(np.int64))]
     while todo:
-        lo, hi, here = todo.pop()
+        lo, hi, which, start, here = todo.pop()
+        if hi <= first or lo >= last:
+            continue
         if hi - lo == 1:
-            out[lo] = here
+            yield lo, which, start, here
             continue
         mid = (lo + hi) // 2
         rng = np.random.default_rng([seed, lo, hi])
-        take = int(round(here.sum() * (mid - lo) / (hi - lo)))
-        left = rng.multivariate_hypergeometric(here, take, method="marginals") if here.sum() else here
-        todo += [(lo, mid, left), (mid, hi, here - left)]
-    return out
-
-
-def measured(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: int) -> DataFrame:
-    """A narrow written row per document: size in words, source and place in the random order."""
-    order = F.xxhash64(F.lit(seed), F.col(id_col), F.col(source_col))
-    return materialise(docs.select(
-        F.monotonically_increasing_id().alias("rid"), F.col(id_col).alias("doc_id"),
-        F.coalesce(F.col(source_col), F.lit("")).alias("source"), F.col(source_col).isNull().alias("no_source"),
-        F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-        # the hash as a fraction of its range, in [0, 1)
-        (F.shiftrightunsigned(order, 11) / F.lit(float(1 << 53))).alias("u")), "sizes")
-
-
-def mix_plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-             source_col: str = "source", seed: int = 11, weights: tuple[float, ...] = WEIGHTS,
-             share: float = SHARE, most: float = MOST_PASSES) -> tuple[DataFrame, pd.DataFrame, np.ndarray]:
-    """Documents with their takes, the sources' table, and each shard's quotas.
-
-    The driver holds one row per source and one number per source and shard;
-    never anything per document or block.
+        take = int(here.sum()) * (mid - lo) // (hi - lo)
+        left = rng.multivariate_hypergeometric(here, take, method="marginals") if take else np.zeros_like(here)
+        for a, b, begin, own in ((mid, hi, start + left, here - left), (lo, mid, start, left)):
+            some = own > 0
+            todo.append((a, b, which[some], begin[some], own[some]))
+
+
+def fill(sizes: list[int], room: int, exact: int = 1 << 16) -> list[int]:
+    """Indexes of sizes that together come as near to ``room`` as they can without passing it.
+
+    In order as long as much room is left, then by all sums that the others can have.
+    """
+    taken, rest = [], []
+    for k, size in enumerate(sizes):
+        if size <= room and room > exact:
+            taken.append(k)
+            room -= size
+        else:
+            rest.append(k)
+    room = max(room, 0)
+    sums, mask, grown = 1, (1 << (min(room, exact) + 1)) - 1, []
+    for k in rest:
+        more = (sums | sums << sizes[k]) & mask if sizes[k] <= exact else sums
+        if more != sums:
+            grown.append((k, sums))
+            sums = more
+        if sums >> room & 1:
+            break
+    at = sums.bit_length() - 1
+    for k, before in reversed(grown):
+        if not before >> at & 1:
+            taken.append(k)
+            at -= sizes[k]
+    return taken
+
+
+def mark(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: int) -> DataFrame:
+    """``docs`` as one struct, with its source and its place in the random order.
+
+    Rows alike in id, source and text have the same place and go together.
     """
+    return docs.select(
+        F.struct(*docs.columns).alias("row"), F.coalesce(F.col(source_col), F.lit("")).alias("source"),
+        F.col(source_col).isNull().alias("no_source"), F.col(text_col).alias("text"), F.col(id_col).alias("doc_id"),
+        F.xxhash64(F.lit(seed), F.col(id_col).cast("string"), F.col(source_col), F.col(text_col)).alias("h"))
+
+
+def blocked(rows: DataFrame, sources: DataFrame) -> DataFrame:
+    """Rows with their source's columns and their block: the hash as a fraction of its range, times the blocks."""
+    place = F.shiftrightunsigned("h", 11) / F.lit(float(1 << 53))
+    return rows.join(sources, ["no_source", "source"]).withColumn("block", F.floor(place * F.col("n_blocks")))
+
+
+class Plan(NamedTuple):
+    sizes: DataFrame    # doc_id, size, h and source of each row
+    sources: DataFrame  # a row for each source
+    draws: DataFrame    # k, pass, block, shard, partial: a row for each drawn block
+    fits: DataFrame     # k, h: what a partial draw takes
+
+
+def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 11,
+         weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST_PASSES) -> Plan:
+    """What each shard draws.  The driver holds one row per source, never anything per document, block or shard."""
     spark = docs.sparkSession
-    rows = measured(docs, id_col, text_col, source_col, seed)
+    words = F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)), F.lit(0)).cast("long")
+    rows = materialise(mark(docs.select(*{id_col, text_col, source_col}), id_col, text_col, source_col, seed).select(
+        "doc_id", "source", "no_source", "h", words.alias("size")), "sizes")
     key = ["no_source", "source"]
     totals = rows.groupBy(*key).agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n_docs"))
     sources = totals.orderBy(*key).toPandas()  # one row per source; null last
@@ -99,54 +150,57 @@ def mix_plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     sources["part"] = np.where(part < 0.5, 0, part.round()).astype(np.int64)
     sources["n_blocks"] = np.maximum(1, sources["n_docs"] // BLOCK_DOCS)
     sources["k"] = np.arange(len(sources))
-    table = spark.createDataFrame(
-        sources[[*key, "k", "source_size", "target", "passes", "part", "n_blocks"]],
-        "no_source boolean, source string, k long, source_size long, target double, passes long, part long, n_blocks long")
-    if len(sources) <= BROADCAST_SOURCES:  # a checked size; more sources take an ordinary join
-        table = F.broadcast(table)
-    placed = rows.join(table, key).withColumn("block", F.floor(F.col("u") * F.col("n_blocks")))
-    # words before each block in its source's order, from one row per block
-    blocks = placed.groupBy("k", "block").agg(F.sum("size").alias("words"), F.first("part").alias("part"))
-    before = F.sum("words").over(Window.partitionBy("k").orderBy("block")) - F.col("words")
-    blocks = materialise(blocks.select("k", "block", "part", "words", before.alias("before")), "blocks")
-    edge = blocks.where("before < part AND before + words > part").select(
-        "k", F.col("block").alias("edge"), (F.col("part") - F.col("before")).alias("room"))
-    whole = blocks.where("before + words <= part AND part > 0").groupBy("k").agg(
-        F.max("block").alias("upto"), F.count(F.lit(1)).alias("n_whole"))
-    ends = whole.join(edge, "k", "full").toPandas()  # one row per source at most
+    columns = "no_source boolean, source string, k long, source_size long, target double, part long, n_blocks long"
+    table = _bounded(spark.createDataFrame(sources[[c.split()[0] for c in columns.split(", ")]], columns), len(sources))
+    placed = blocked(rows, table)
+    # words before each block in its source's order, from one row per block and one per run of blocks
+    blocks = materialise(placed.groupBy("k", "block").agg(F.sum("size").alias("words"), F.first("part").alias("part")).withColumn(
+        "run", F.floor(F.col("block") / RUN)), "blocks")
+    runs = blocks.groupBy("k", "run").agg(F.sum("words").alias("all"))
+    runs = runs.select("k", "run", (F.sum("all").over(Window.partitionBy("k").orderBy("run")) - F.col("all")).alias("base"))
+    before = F.col("base") + F.sum("words").over(Window.partitionBy("k", "run").orderBy("block")) - F.col("words")
+    blocks = blocks.join(runs, ["k", "run"]).select("k", "block", "part", "words", before.alias("before")).where("before < part")
+    ends = blocks.groupBy("k").agg(F.max("block").alias("end"), F.max_by(
+        F.struct((F.col("before") + F.col("words") > F.col("part")).alias("cut"), (F.col("part") - F.col("before")).alias("room")),
+        "block").alias("last")).select("k", "end", "last.cut", "last.room").toPandas()  # one row per source at most
     sources = sources.merge(ends, on="k", how="left")
-    sources["upto"] = sources["upto"].fillna(-1).astype(np.int64)
-    sources["edge"] = sources["edge"].fillna(-1).astype(np.int64)
-    sources["room"] = sources["room"].fillna(0).astype(np.int64)
-    small = spark.createDataFrame(sources[["k", "upto", "edge", "room"]], "k long, upto long, edge long, room long")
-    if len(sources) <= BROADCAST_SOURCES:
-        small = F.broadcast(small)
-    placed = placed.join(small, "k")
+    end = sources["end"].fillna(-1).to_numpy(np.int64)
+    cut = sources["cut"].eq(True).to_numpy()
+    quotas = (sources["passes"] * sources["n_blocks"]).to_numpy(np.int64) + end + 1
+    shards = max(1, -(-int(quotas.sum()) // SHARD_BLOCKS))
+
+    def dealt(batches):
+        for batch in batches:
+            ids = batch.column(0).to_numpy()
+            if len(ids):
+                for shard, which, start, own in deal(quotas, shards, seed, int(ids[0]), int(ids[-1]) + 1):
+                    yield pa.RecordBatch.from_arrays([pa.array(which), pa.array(start), pa.array(start + own - 1),
+                                                      pa.array(np.full(len(which), shard))], names=["k", "low", "high", "shard"])
+
+    edges = pd.DataFrame({"k": sources["k"], "n_blocks": sources["n_blocks"], "passes": sources["passes"],
+                          "edge": np.where(cut, end, -1), "room": sources["room"].fillna(0).astype(np.int64)})
+    edges = _bounded(spark.createDataFrame(edges, "k long, n_blocks long, passes long, edge long, room long"), len(sources))
+    ranges = spark.range(0, shards, 1, max(1, min(shards // 64, spark.sparkContext.defaultParallelism))).mapInArrow(
+        dealt, "k long, low long, high long, shard long")
+    draws = ranges.join(edges, "k").select(
+        "k", "n_blocks", "passes", "edge", "shard", F.explode(F.sequence("low", "high")).alias("j")).select(
+        "k", F.floor(F.col("j") / F.col("n_blocks")).alias("pass"), F.pmod("j", "n_blocks").alias("block"), "shard", "passes", "edge")
+    draws = materialise(draws.select("k", "pass", "block", "shard", (
+        (F.col("pass") == F.col("passes")) & (F.col("block") == F.col("edge"))).alias("partial")), "draws")
 
     def fit(frame: pd.DataFrame) -> pd.DataFrame:
-        """Documents of a source's last block that still fit, in order; the last may overshoot if nearer."""
-        frame = frame.sort_values(["u", "doc_id", "rid"])
-        room, taken, best = int(frame["room"].iloc[0]), [], None
-        for rid, size in zip(frame["rid"].tolist(), frame["size"].tolist()):
-            if size <= room:
-                taken.append(rid)
-                room -= size
-            elif best is None or size < best[1]:
-                best = (rid, size)
-        if best is not None and best[1] - room < room and best[0] not in taken:
-            taken.append(best[0])
-        return pd.DataFrame({"rid": pd.Series(taken, dtype="int64")})
-
-    last = placed.where(F.col("block") == F.col("edge")).select("k", "rid", "doc_id", "u", "size", "room")
-    fitting = materialise(last.groupBy("k").applyInPandas(fit, "rid long").withColumn("fits", F.lit(True)), "fitting")
-    takes = placed.join(fitting, "rid", "left").select(
-        "rid", "doc_id", "k", "size", "source_size", "target", "u", "block", "n_blocks", "passes",
-        (F.col("passes") + F.when((F.col("block") <= F.col("upto")) | F.coalesce("fits", F.lit(False)), 1)
-         .otherwise(0)).alias("copies"))
-    drawn = (sources["passes"] * sources["n_blocks"] + np.where(
-        sources["part"] > 0, np.maximum(sources["upto"], sources["edge"]) + 1, 0)).to_numpy(np.int64)
-    shards = max(1, -(-int(drawn.sum()) // SHARD_BLOCKS))
-    return takes, sources, split_quotas(drawn, shards, seed)
+        frame = frame.sort_values(["h"])
+        return frame.iloc[fill(frame["size"].tolist(), int(frame["room"].iloc[0]))][["k", "h"]]
+
+    last = placed.drop("n_blocks").join(edges, "k").where(F.col("block") == F.col("edge"))
+    fits = materialise(last.groupBy("k", "h").agg(F.sum("size").alias("size"), F.first("room").alias("room")).groupBy(
+        "k").applyInPandas(fit, "k long, h long"), "fits")
+    return Plan(rows, table, draws, fits)
+
+
+def _bounded(table: DataFrame, n: int) -> DataFrame:
+    """A table of one row a source; of a checked size it is broadcast, else it takes an ordinary join."""
+    return F.broadcast(table) if n <= BROADCAST_SOURCES else table
 
 
 def mix_table(docs: DataFrame, **options) -> DataFrame:
@@ -154,42 +208,33 @@ def mix_table(docs: DataFrame, **options) -> DataFrame:
 
     Words are runs outside ``[\\x20\\x09-\\x0D]``; null text has none, and a null
     source is a source of its own, the last.  Rows that repeat an id are
-    documents of their own.  An empty table gives no rows.
+    documents of their own; those alike in id, source and text are taken
+    equally often.  An empty table gives no rows.
     """
-    takes, _, _ = mix_plan(docs, **options)
-    return takes.select("doc_id", "size", "source_size", "target",
-                        (F.col("size") * F.col("copies")).alias("taken"), F.col("copies").cast("int").alias("copies"))
-
-
-def mix_draws(docs: DataFrame, seed: int = 11, **options) -> DataFrame:
-    """One row per drawn copy: ``rid, doc_id, copy, shard, at``; ``at`` orders a shard's copies.
-
-    Copy ``c`` of a document in block ``b`` is draw ``c * n_blocks + b`` of its
-    source; shard boundaries in that sequence come from the splitting tree.
+    sizes, sources, draws, fits = plan(docs, **options)
+    per_block = draws.groupBy("k", "block").agg(F.count_if(~F.col("partial")).alias("whole"), F.count_if("partial").alias("partial"))
+    copies = F.coalesce(F.col("whole") + F.when(F.col("fit"), F.col("partial")).otherwise(0), F.lit(0))
+    return blocked(sizes, sources).join(per_block, ["k", "block"], "left").join(
+        fits.withColumn("fit", F.lit(True)), ["k", "h"], "left").select(
+        "doc_id", "size", "source_size", "target", (F.col("size") * copies).alias("taken"), copies.cast("int").alias("copies"))
+
+
+def mix_draws(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 11,
+              **options) -> DataFrame:
+    """One row per drawn copy: ``row`` (the columns of ``docs``), ``shard`` and ``at``, which orders a shard's copies."""
+    _, sources, draws, fits = plan(docs, id_col, text_col, source_col, seed, **options)
+    rows = blocked(mark(docs, id_col, text_col, source_col, seed), sources).select("row", "k", "block", "h")
+    # drawn blocks are as many as documents need, never broadcast by us; hot blocks are split as any skewed join
+    drawn = rows.join(draws, ["k", "block"]).join(fits.withColumn("fit", F.lit(True)), ["k", "h"], "left")
+    return drawn.where(~F.col("partial") | F.col("fit")).select(
+        "row", "shard", F.xxhash64(F.lit(seed + 1), "h", "pass").alias("at"))
+
+
+def mixed_documents(docs: DataFrame, **options) -> DataFrame:
+    """The mix itself: rows of ``docs`` as often as they are drawn, with their columns, shard by shard in local order.
+
+    Documents without words are taken as their block is.  Null ids, texts and
+    sources, repeated rows and empty tables are as in ``mix_table``.
     """
-    takes, _, quotas = mix_plan(docs, seed=seed, **options)
-    ends = np.cumsum(quotas, axis=0)  # shards by sources: sizes of the plan, not of the data
-
-    def deal(frames):
-        for f in frames:
-            draw = f["copy"].to_numpy() * f["n_blocks"].to_numpy() + f["block"].to_numpy()
-            shard = np.empty(len(f), np.int64)
-            for k in np.unique(f["k"].to_numpy()):
-                mine = (f["k"] == k).to_numpy()
-                shard[mine] = np.searchsorted(ends[:, k], draw[mine], side="right")
-            yield f[["rid", "doc_id", "copy", "at"]].assign(shard=np.minimum(shard, len(ends) - 1))
-
-    copies = takes.where("copies > 0").select(
-        "rid", "doc_id", "k", "block", "n_blocks",
-        F.explode(F.sequence(F.lit(0), F.col("copies").cast("int") - 1)).alias("copy"))
-    return copies.withColumn("at", F.xxhash64(F.lit(seed + 1), "rid", "copy")).mapInPandas(
-        deal, "rid long, doc_id long, copy int, at long, shard long")
-
-
-def mixed_documents(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """The mix itself: rows of ``docs`` as often as they are drawn, with their columns."""
-    takes = mix_table(docs, id_col=id_col, **options)
-    copies = takes.groupBy("doc_id").agg(F.max("copies").alias("_copies")).withColumnRenamed("doc_id", "_taken")
-    names = docs.columns
-    joined = docs.join(copies.where("_copies > 0"), docs[id_col].eqNullSafe(copies["_taken"]))
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), "_copies"))).select(*names)
+    drawn = mix_draws(docs, **options)
+    return drawn.repartition("shard").sortWithinPartitions("shard", "at").select("row.*")
