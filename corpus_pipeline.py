@@ -17,16 +17,19 @@ from quarrystone.llm.packing import pack_sequences
 from quarrystone.llm.quality import keep_good, train
 
 
-_mark = 0
+_before: dict[str, frozenset[str]] = {}  # tables that an application had when its pipeline began
 
 
 def _begin(spark: SparkSession, docs: DataFrame, first: bool = False) -> None:
-    """Free this pipeline's tables of the stage before, unless ``docs`` still reads them."""
-    global _mark
+    """Free this pipeline's tables of the stage before, unless ``docs`` still reads them.
+
+    One pipeline runs at a time in an application.
+    """
+    app = spark.sparkContext.applicationId
     if first:
-        _mark = written()
+        _before[app] = frozenset(written(spark))
     elif not any("/quarrystone/" in f and "/stage-" not in f for f in docs.inputFiles()):
-        release(spark, _mark)
+        release(spark, [p for p in written(spark) if p not in _before.get(app, ())])
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

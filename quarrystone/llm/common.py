@@ -2,49 +2,65 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 KEPT = "stage-"
-_WRITTEN: list[str] = []
+_WRITTEN: dict[str, list[str]] = {}  # by application
 
 
-def written() -> int:
-    """How many intermediate tables there are so far; a mark for ``release``."""
-    return len(_WRITTEN)
+def written(spark: SparkSession) -> list[str]:
+    """Paths of this application's intermediate tables so far."""
+    return _WRITTEN.setdefault(spark.sparkContext.applicationId, [])
 
 
-def release(spark: SparkSession, since: int = 0) -> None:
-    """Delete the intermediate tables written after a mark, all but a pipeline's stages.
+def release(spark: SparkSession, paths: Iterable[str]) -> None:
+    """Delete intermediate tables.
 
     Only for a point where no result that reads them is still to be written,
     such as the start of a stage whose input was written and read again.
     """
-    jvm = spark._jvm
-    while len(_WRITTEN) > since:
-        path = jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+    jvm, known = spark._jvm, written(spark)
+    for name in paths:
+        path = jvm.org.apache.hadoop.fs.Path(name)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        if name in known:
+            known.remove(name)
 
 
 def scratch_dir(spark: SparkSession) -> str:
     """The shared folder for written intermediate tables.
 
-    ``spark.checkpoint.dir`` names it on a cluster.  Only where that is unset
-    (tests, a laptop) a temporary folder of this machine is made and set.
+    ``spark.checkpoint.dir`` names it on a cluster.  Where that is unset it is
+    a folder of the warehouse, which all executors share too.  Only a session
+    that runs in one process may use a temporary folder of its machine.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         base = getattr(spark, "_quarrystone_scratch", None)
         if not base:
-            base = "file://" + tempfile.mkdtemp(prefix="quarrystone-")
+            if re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+                base = "file://" + tempfile.mkdtemp(prefix="quarrystone-")
+            else:
+                base = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
             spark._quarrystone_scratch = base
     return base.rstrip("/")
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, noted as this application's."""
+    path = f"{scratch_dir(spark)}/quarrystone/{name}-{uuid.uuid4().hex}"
+    if not name.startswith(KEPT):
+        written(spark).append(path)
+    return path
+
+
 def materialise(df: DataFrame, name: str, partition_hint: int | None = None) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
@@ -52,9 +68,7 @@ def materialise(df: DataFrame, name: str, partition_hint: int | None = None) ->
     committed by Spark's writer, and later stages reread them.
     """
     spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/quarrystone/{name}-{uuid.uuid4().hex}"
-    if not name.startswith(KEPT):
-        _WRITTEN.append(path)
+    path = scratch_path(spark, name)
     (df.coalesce(partition_hint) if partition_hint else df).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -49,8 +49,9 @@ def verified_recipes(cut: DataFrame) -> DataFrame:
 
     Every distinct (hash, content) pair is gathered; a hash that stands for one
     content is that chunk's identifier.  A hash with several contents (a
-    collision) is replaced by the hash followed by the content itself, so equal
-    identifiers always mean equal contents.
+    collision) is replaced by the hash followed by the content itself with its
+    length before it, so equal lists of identifiers always mean equal contents,
+    also when they are joined to one string.
     """
     pairs = cut.select(F.explode(F.arrays_zip("hashes", "chunks")).alias("c")).select(
         F.col("c.hashes").alias("h"), F.col("c.chunks").alias("chunk"))
@@ -67,7 +68,7 @@ def verified_recipes(cut: DataFrame) -> DataFrame:
     parts = rows.select("_row", F.posexplode(F.arrays_zip("hashes", "chunks")).alias("pos", "c")).select(
         "_row", "pos", F.col("c.hashes").alias("h"), F.col("c.chunks").alias("chunk"))
     marked = parts.join(clash.withColumn("_clash", F.lit(True)), "h", "left").select(
-        "_row", "pos", F.when(F.col("_clash"), F.concat(F.hex("h"), F.lit(":"), "chunk"))
+        "_row", "pos", F.when(F.col("_clash"), F.concat(F.hex("h"), F.lit(":"), F.length("chunk"), F.lit(":"), "chunk"))
         .otherwise(F.hex("h")).alias("part"))
     lists = marked.groupBy("_row").agg(F.sort_array(F.collect_list(F.struct("pos", "part"))).alias("l"))
     return rows.select("_row", "doc_id", "n_code_points", "text_sha256").join(lists, "_row", "left").select(

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrystone.llm import simple8b
-from quarrystone.llm.common import scratch_dir
+from quarrystone.llm.common import scratch_path
 from quarrystone.llm.tokens import encoded
 
 SEGMENT = "shard int, ids_before long, doc_ids array<bigint>, lengths array<bigint>, block_offsets array<bigint>, payload binary"
@@ -82,8 +82,6 @@ def token_round_trip(docs: DataFrame, tokenizer_path: str, name: str = "token-fi
 
     Null or empty texts have the end id alone.  An empty table gives no rows.
     """
-    import uuid
-
-    path = f"{scratch_dir(docs.sparkSession)}/quarrystone/{name}-{uuid.uuid4().hex}"
+    path = scratch_path(docs.sparkSession, name)
     write_token_files(docs, path, tokenizer_path)
     return read_token_files(docs.sparkSession, path)

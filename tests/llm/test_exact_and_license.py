@@ -31,6 +31,17 @@ ROWS = [(1, "a b"), (2, "ab"), (3, "a  b"), (4, None), (5, ""), (6, " \t\n"), (7
         (10, "x" * 30_000), (11, "x" * 29_999 + "y"), (12, "AB"), (13, "a b"), (14, "ab"), (14, "ab"), (15, "a b"), (16, "\x1cab")]
 
 
+def test_colliding_chunks_that_hold_separators_stay_apart(spark, monkeypatch):
+    """Chunks of one hash whose contents look like joined identifiers."""
+    cut = [(1, ["a,7:b", "q"], [7, 5]), (2, ["a", "b", "q"], [7, 7, 5]), (3, ["a", "b", "q"], [7, 7, 5]), (4, [], []),
+           (5, ["a,7:1:b", "q"], [7, 5])]
+    df = spark.createDataFrame([(i, 9, "x", c, h) for i, c, h in cut],
+                               "doc_id long, n_code_points long, text_sha256 string, chunks array<string>, hashes array<bigint>")
+    monkeypatch.setattr(exact_dedup, "chunked", lambda *a: df)
+    got = {r["doc_id"]: (r["keep_id"], r["group_size"]) for r in exact_dedup.exact_dedup(df).collect()}
+    assert got == {1: (1, 1), 2: (2, 2), 3: (2, 2), 4: (4, 1), 5: (5, 1)}
+
+
 def test_exact_against_brute_force(spark):
     got = exact_dedup.exact_dedup(table(spark, ROWS))
     assert sorted(map(tuple, got.collect()), key=str) == brute(ROWS)
