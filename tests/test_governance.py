@@ -101,28 +101,60 @@ def test_identity_and_substitution(tmp_path):
     assert runner.substituted({"x": ["${A:-d}", "${B}"]}, {"B": "v"}) == {"x": ["d", "v"]}
 
 
-def test_page_loop_retries_resumes_and_stops():
-    pages = {None: api.Page([1, 2], "p2"), "p2": api.Page([3], None)}
-    tries, slept, saved, written = [], [], [], []
-
-    def fetch(cursor, timeout, progress):
-        tries.append(cursor)
-        if len(tries) == 1:
+def test_reading_a_source_resumes_where_it_stopped(spark, tmp_path):
+    progress = api.ProgressTable(spark, str(tmp_path / "progress"))
+    book = {None: api.Answer([1, 2], "b", {"etag": "x"}), "b": api.Answer([3], "c"), "c": api.Answer([4, 5, 6])}
+    asked, kept, waits = [], [], []
+    broken = {"b": 1, "c": 9}
+
+    def ask(cursor, validators):
+        asked.append((cursor, dict(validators)))
+        if broken.get(cursor, 0):
+            broken[cursor] -= 1
             raise TimeoutError
-        return pages[cursor]
+        return book[cursor]
+
+    def sink(rows):
+        kept.extend(rows)
+        return len(rows)
+
+    retry = api.Retry(wait=waits.append)
+    assert progress.latest("s") is None
+    with pytest.raises(TimeoutError):
+        api.read_source("s", ask, sink, progress, retry=retry)
+    assert kept == [1, 2, 3] and waits == [1, 1, 2] and progress.latest("s")["cursor"] == "c"
+    broken.clear()
+    assert api.read_source("s", ask, sink, progress, retry=retry) == {"pages": 1, "rows": 3, "unchanged": 0, "complete": True}
+    assert kept == [1, 2, 3, 4, 5, 6] and progress.latest("s")["complete"] and progress.latest("other") is None
+    assert api.read_source("s", lambda c, v: api.Answer(None), sink, progress) == {"pages": 1, "rows": 0, "unchanged": 1, "complete": True}
+    assert api.read_source("t", ask, sink, progress, most_pages=1)["complete"] is False and asked[-1] == (None, {})
 
-    def write(records):
-        assert len(saved) == len(written)
-        written.append(records)
-        return len(records)
 
-    got = api.ingest_pages(fetch, write, saved.append, sleep=slept.append)
-    assert got == {"pages": 2, "rows_written": 3, "complete": True} and slept == [1] and saved[-1].complete
-    assert api.ingest_pages(lambda *a: api.Page([], "x"), lambda r: 0, lambda s: None, max_pages=1)["complete"] is False
+def test_a_source_that_leads_back_is_an_error_and_retries_end():
     with pytest.raises(RuntimeError):
-        api.ingest_pages(lambda *a: api.Page([], "x"), lambda r: 0, lambda s: None)
+        list(api.answers(lambda c: api.Answer([], "again")))
+    waits = []
+
+    def never(cursor):
+        raise ConnectionError
+
     with pytest.raises(ConnectionError):
-        api.ingest_pages(lambda *a: (_ for _ in ()).throw(ConnectionError()), lambda r: 0, lambda s: None, sleep=lambda s: None)
+        next(api.answers(never, retry=api.Retry(tries=6, wait=waits.append)))
+    assert waits == [1, 2, 4, 8, 8]
+
+
+def test_recent_answers_expire_and_are_bounded():
+    clock, asked = [0.0], []
+    recent = api.Recent(seconds=10, most=2, now=lambda: clock[0])
+
+    def get(cursor):
+        return recent.through(cursor, lambda: asked.append(cursor) or api.Answer([cursor]))
+
+    get("a"), get("a"), get("b"), get("c"), get("a")
+    assert asked == ["a", "b", "c", "a"]
+    clock[0] = 11
+    get("c")
+    assert asked[-1] == "c" and len(asked) == 5
 
 
 def test_bronze_records(spark):
