@@ -39,7 +39,8 @@ def date_of(c: Column | str, formats: Iterable[str], epoch_millis: bool = False)
     c = F.trim(_col(c).cast("string"))
     tries = [F.try_to_timestamp(c, F.lit(f)) for f in formats]
     if epoch_millis:
-        tries.append(F.timestamp_millis(F.when(c.rlike(r"^\d{10,14}$"), c).try_cast("bigint")))
+        n = c.try_cast("bigint")  # what is not in the years 1 to 9999 is no date
+        tries.append(F.timestamp_millis(F.when(n.between(-62135596800000, 253402300799999), n)))
     return F.to_date(F.coalesce(*tries))
 
 

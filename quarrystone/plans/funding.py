@@ -10,7 +10,7 @@ from quarrystone.operators.classify import classify, comments, known
 from quarrystone.operators.dedupe import by_precedence, exact, split_conflicts
 from quarrystone.operators.temporal import point_in_time
 
-DATE_FORMATS = ("yyyy-MM-dd", "dd/MM/yyyy", "MM-dd-yyyy")
+DATE_FORMATS = ("MM/dd/yyyy", "dd-MMM-yy", "yyyy-MM-dd")  # fixed values, in this order; then milliseconds since 1970
 LAYOUT = ("contribution_id", "donor_id", "programme_id", "fiscal_year", "contribution_date", "currency_original",
           "amount_original", "exchange_rate_to_usd", "amount_usd", "status", "grant_id", "payment_method", "notes")
 COMMENTS = {
@@ -27,12 +27,13 @@ COMMENTS = {
 def normalised(raw: DataFrame, batch: str) -> DataFrame:
     """Either layout (upper-case csv, lower-case json) as typed columns; absent ones are null."""
     df = renamed(raw, {n: (n, "string") for n in LAYOUT})
-    upper = lambda c: F.nullif(F.upper(F.trim(c)), F.lit(""))
+    text = lambda c: F.nullif(F.trim(c), F.lit(""))
     return df.select(
-        upper("contribution_id").alias("contribution_id"), upper("donor_id").alias("donor_id"),
-        upper("programme_id").alias("programme_id"), fiscal_year("fiscal_year").alias("fiscal_year"),
+        text("contribution_id").alias("contribution_id"), text("donor_id").alias("donor_id"),
+        text("programme_id").alias("programme_id"), F.trim("fiscal_year").alias("fiscal_year_raw"),
+        fiscal_year("fiscal_year").alias("fiscal_year"),
         date_of("contribution_date", DATE_FORMATS, epoch_millis=True).alias("contribution_date"),
-        upper("currency_original").alias("currency_original"),
+        F.upper(text("currency_original")).alias("currency_original"),
         number("amount_original", "decimal(18,2)").alias("amount_original"),
         number("exchange_rate_to_usd", "decimal(18,8)").alias("exchange_rate_to_usd"),
         number("amount_usd", "decimal(18,2)").alias("source_amount_usd"),
@@ -41,18 +42,19 @@ def normalised(raw: DataFrame, batch: str) -> DataFrame:
 
 
 def with_rates(df: DataFrame, rates: DataFrame) -> DataFrame:
-    """The dollar amount: the source's, else the original at the month's rate."""
+    """The dollar amount: the source's, else the original at the month's listed rate."""
     r = rates.select(F.upper(F.trim("currency")).alias("_currency"), F.col("rate_month").alias("_month"),
                      F.col("rate_to_usd").cast("decimal(18,8)").alias("_rate")).dropDuplicates(["_currency", "_month"])
     joined = df.join(r, (df["currency_original"] == r["_currency"])
                      & (F.date_format(df["contribution_date"], "yyyy-MM") == r["_month"]), "left")
     rate = F.coalesce("exchange_rate_to_usd", "_rate")
-    usd = F.coalesce("source_amount_usd", (F.col("amount_original") * rate).cast("decimal(18,2)"))
-    return joined.withColumn("applied_rate", rate).withColumn("amount_usd", usd).drop("_currency", "_month", "_rate")
+    usd = F.coalesce("source_amount_usd", (F.col("amount_original") * F.col("_rate")).cast("decimal(18,2)"))
+    return joined.withColumn("applied_rate", rate).withColumn("amount_usd", usd).withColumnRenamed("_rate", "listed_rate").drop(
+        "_currency", "_month")
 
 
 def classify_contributions(csv: DataFrame, json: DataFrame, rates: DataFrame, donors: DataFrame, programmes: DataFrame):
-    """``(accepted, quarantined)``.  Conflicts inside a batch set the whole id aside, in both batches."""
+    """``(accepted, quarantined)``.  Conflicts inside a batch set the whole id aside, in both batches, for that reason alone."""
     csv_clean, csv_conflict = split_conflicts(exact(csv), ["contribution_id"])
     json_clean, json_conflict = split_conflicts(exact(json), ["contribution_id"])
     bad = csv_conflict.unionByName(json_conflict).select("contribution_id").distinct()
@@ -62,29 +64,44 @@ def classify_contributions(csv: DataFrame, json: DataFrame, rates: DataFrame, do
         csv_conflict).unionByName(json_conflict)
     df = with_rates(merged.withColumn("_conflict", F.lit(False)).unionByName(aside.withColumn("_conflict", F.lit(True))), rates)
     df = known(known(df, "donor_id", donors, "donor_id", "_donor"), "programme_id", programmes, "programme_id", "_programme")
-    accepted, rejected = classify(df, [
-        ("missing_donor", ~F.col("_donor")), ("missing_programme", ~F.col("_programme")),
-        ("missing_amount", F.col("amount_original").isNull() & F.col("source_amount_usd").isNull()),
-        ("non_positive_amount", F.coalesce("amount_original", "source_amount_usd") <= 0),
-        ("invalid_date", F.col("contribution_date").isNull()),
-        ("missing_exchange_rate", (F.col("source_batch") == "json") & F.col("amount_usd").isNull()
-         & F.col("amount_original").isNotNull()),
-        ("conflicting_duplicate", F.col("_conflict")),
-    ])
-    helpers = ["_conflict", "_donor", "_programme"]
+    alone = {
+        "missing_donor": ~F.col("_donor"), "missing_programme": ~F.col("_programme"),
+        "missing_amount": F.col("amount_original").isNull(), "non_positive_amount": F.col("amount_original") <= 0,
+        "invalid_date": F.col("contribution_date").isNull(),
+        "missing_exchange_rate": (F.col("source_batch") == "json") & F.col("amount_original").isNotNull()
+        & F.col("contribution_date").isNotNull() & F.col("listed_rate").isNull(),
+    }
+    accepted, rejected = classify(df, [*((name, ~F.col("_conflict") & test) for name, test in alone.items()),
+                                       ("conflicting_duplicate", F.col("_conflict"))])
+    helpers = ["_conflict", "_donor", "_programme", "listed_rate"]
     return accepted.drop(*helpers), rejected.drop(*helpers).withColumn("comment", comments(COMMENTS))
 
 
+def conform_donors(raw: DataFrame) -> DataFrame:
+    """The donor list: trimmed, with lower-case types, one row for each id."""
+    df = renamed(raw, {n: (n, "string") for n in ("donor_id", "donor_name", "donor_type", "country")})
+    return df.select(F.trim("donor_id").alias("donor_id"), F.trim("donor_name").alias("donor_name"),
+                     F.lower(F.trim("donor_type")).alias("donor_type"), F.trim("country").alias("country")).dropDuplicates(["donor_id"])
+
+
+def conform_rates(raw: DataFrame) -> DataFrame:
+    """Exchange rates, one row for each currency and month."""
+    df = renamed(raw, {n: (n, "string") for n in ("currency", "rate_month", "rate_to_usd")})
+    return df.select(F.upper(F.trim("currency")).alias("currency"), F.trim("rate_month").alias("rate_month"),
+                     number("rate_to_usd", "decimal(18,8)").alias("rate_to_usd")).dropDuplicates(["currency", "rate_month"])
+
+
 def grants(raw: DataFrame) -> DataFrame:
-    """Nested grants as columns: reporting frequency, next due date, tags joined by commas."""
-    tags = F.col("tags").cast("array<string>") if "tags" in raw.columns else F.array().cast("array<string>")
+    """Nested grants as columns: reporting frequency, next due date from milliseconds, tags joined by commas."""
+    none = F.array().cast("array<string>")
+    tags = F.coalesce(F.col("tags").cast("array<string>"), none) if "tags" in raw.columns else none
     return raw.select(
-        F.trim("grant_id").alias("grant_id"), F.trim("grant_reference").alias("grant_reference"),
-        F.upper(F.trim("donor_id")).alias("donor_id"), F.upper(F.trim("programme_id")).alias("programme_id"),
+        *(F.trim(c).alias(c) for c in ("grant_id", "grant_reference", "donor_id", "programme_id")),
         F.col("amount_committed_usd").try_cast("decimal(18,2)").alias("amount_committed_usd"),
-        date_of("signed_date", DATE_FORMATS).alias("signed_date"), F.col("reporting.frequency").alias("reporting_frequency"),
-        F.to_date(F.timestamp_seconds(F.col("reporting.next_due_date_epoch"))).alias("next_due_date"),
-        F.array_join(F.coalesce(tags, F.array().cast("array<string>")), ",").alias("tags")).dropDuplicates(["grant_id"])
+        date_of("signed_date", ("yyyy-MM-dd",)).alias("signed_date"),
+        F.col("reporting.frequency").cast("string").alias("reporting_frequency"),
+        date_of("reporting.next_due_date_epoch", (), epoch_millis=True).alias("next_due_date"),
+        F.concat_ws(",", tags).alias("tags_str")).dropDuplicates(["grant_id"])
 
 
 def fact_contributions(accepted: DataFrame, versions: DataFrame) -> DataFrame:

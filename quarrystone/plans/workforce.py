@@ -30,6 +30,10 @@ URGENT = "urgent|critical|shortage|surge|emergency|risk"
 SOON = "next two quarters|planned|increasing|required"
 STRATEGIC = "Climate|Data|Artificial|Digital|Cybersecurity"
 
+# Fixed value: the note beside each gap, before the number of contributors at high retention risk.
+MODEL_NOTE = ("Supply uses proficiency-adjusted active staff, mobility readiness, retention risk and funding-weighted planned positions; "
+              "high retention-risk contributors=")
+
 
 def hashed(df: DataFrame, columns: list[str], run_id: str) -> DataFrame:
     """Bronze rows with their content hash and audit columns."""
@@ -77,56 +81,69 @@ def classify_signals(found: DataFrame):
 
 
 def supply(employees: DataFrame, skills: DataFrame, talent: DataFrame, planned: DataFrame) -> DataFrame:
-    """Full-time equivalents by office and skill: weighted staff and planned positions."""
+    """Full-time equivalents by office and skill: weighted staff and planned positions.
+
+    Weights are decimals, so sums do not depend on the order of rows.
+    """
+    d = lambda x: F.lit(x).cast("decimal(3,2)")
     t = talent.select("employee_id", "mobility_readiness", "retention_risk").dropDuplicates(["employee_id"])
     e = employees.select("employee_id", "country", "region", "employment_status").dropDuplicates(["employee_id"])
     staff = skills.where("skill_id IS NOT NULL").join(e, "employee_id", "left").join(t, "employee_id", "left")
-    weight = (F.when(F.col("employment_status") == "Active", 1.0).otherwise(0.35)
-              * F.coalesce("assessed_proficiency", F.lit(0.0)) / 5.0
-              * F.when(F.col("retention_risk") == "High", 0.65).when(F.col("retention_risk") == "Medium", 0.85).otherwise(1.0)
-              * F.when(F.col("mobility_readiness") == "Ready now", 1.05)
-              .when(F.col("mobility_readiness") == "Ready in 6-12 months", 0.90).otherwise(0.75))
+    fifth = F.coalesce(F.col("assessed_proficiency").cast("decimal(8,4)"), F.lit(0)) * F.lit("0.2").cast("decimal(1,1)")
+    weight = (F.when(F.col("employment_status") == "Active", d("1.00")).otherwise(d("0.35")) * fifth
+              * F.when(F.col("retention_risk") == "High", d("0.65")).when(F.col("retention_risk") == "Medium", d("0.85")).otherwise(d("1.00"))
+              * F.when(F.col("mobility_readiness") == "Ready now", d("1.05"))
+              .when(F.col("mobility_readiness") == "Ready in 6-12 months", d("0.90")).otherwise(d("0.75")))
     now = staff.groupBy("office_id", "country", "region", "skill_id", "skill_name").agg(
         F.count_distinct("employee_id").alias("employees_with_skill"), F.sum(weight).alias("current_supply_fte"),
         F.count_if(F.col("mobility_readiness") == "Ready now").alias("ready_now_count"),
         F.count_if(F.col("retention_risk") == "High").alias("high_retention_risk_count"))
-    share = F.when(F.col("position_status") == "Approved", F.col("funding_probability")).when(
-        F.col("position_status") == "Planned", F.col("funding_probability") * 0.55).otherwise(0.0)
+    chance = F.col("funding_probability").cast("decimal(8,6)")
+    share = F.when(F.col("position_status") == "Approved", chance * d("1.00")).when(
+        F.col("position_status") == "Planned", chance * d("0.55")).otherwise(F.lit(0))
     later = planned.groupBy("office_id", "skill_id").agg(F.sum(share).alias("planned_supply_fte"))
     both = now.join(later, ["office_id", "skill_id"], "full_outer")
     zero = lambda c: F.coalesce(c, F.lit(0))
+    fte = lambda c: zero(c).cast("decimal(28,12)")
     return both.select(
         "office_id", "country", "region", "skill_id", "skill_name", zero("employees_with_skill").alias("employees_with_skill"),
-        F.coalesce("current_supply_fte", F.lit(0.0)).alias("current_supply_fte"),
-        F.coalesce("planned_supply_fte", F.lit(0.0)).alias("planned_supply_fte"),
-        (F.coalesce("current_supply_fte", F.lit(0.0)) + F.coalesce("planned_supply_fte", F.lit(0.0))).alias("supply_fte"),
+        fte("current_supply_fte").alias("current_supply_fte"), fte("planned_supply_fte").alias("planned_supply_fte"),
+        (fte("current_supply_fte") + fte("planned_supply_fte")).cast("decimal(28,12)").alias("supply_fte"),
         zero("ready_now_count").alias("ready_now_count"),
         zero("high_retention_risk_count").alias("high_retention_risk_count"))
 
 
 def gap(accepted: DataFrame, supplied: DataFrame) -> DataFrame:
-    """Demand against supply by office and skill; supply is summed first, so rows never fan out."""
+    """Demand against supply by office and skill; supply is summed first, so rows never fan out.
+
+    Scores are compared as decimals and leave as doubles, rounded once.
+    """
+    sure = F.col("confidence").cast("decimal(8,4)")
     urgency = F.when(F.col("urgency") == "high", 3).when(F.col("urgency") == "medium", 2).otherwise(1)
     demand = accepted.where("NOT negated").groupBy("office_id", "country", "region", "skill_id", "skill_name").agg(
         F.count_distinct("source_id").alias("source_count"), F.max(urgency).alias("urgency_score"),
-        F.sum(F.when(F.col("demand_direction") == "increasing", F.col("confidence")).otherwise(0.0)).alias("raw_demand"),
+        F.sum(sure).alias("sure"), F.count("confidence").alias("n_sure"),
+        F.sum(F.when(F.col("demand_direction") == "increasing", sure).otherwise(F.lit(0))).alias("raw_demand"),
         F.concat_ws(" ", F.array_sort(F.collect_set(F.substring("evidence_text", 1, 180)))).alias("evidence_summary"))
     s = supplied.groupBy("office_id", "skill_id").agg(
         F.sum("supply_fte").alias("supply_fte"), F.sum("ready_now_count").alias("ready_now_count"),
         F.sum("high_retention_risk_count").alias("high_retention_risk_count"))
     d = demand.join(s, ["office_id", "skill_id"], "left").select(
-        "*", F.round(F.col("raw_demand") + F.col("urgency_score") * 0.5, 2).alias("demand_score"),
-        F.round(F.coalesce("supply_fte", F.lit(0.0)), 2).alias("supply"))
-    d = d.withColumn("g", F.greatest(F.col("demand_score") - F.col("supply"), F.lit(0.0)))
+        "*", F.round(F.col("raw_demand") + F.col("urgency_score") * F.lit("0.5").cast("decimal(2,1)"), 2).alias("score"),
+        F.round(F.coalesce("supply_fte", F.lit(0)), 2).alias("supply"))
+    d = d.withColumn("g", F.greatest(F.col("score") - F.col("supply"), F.lit(0)))
+    risky = F.coalesce("high_retention_risk_count", F.lit(0)).cast("string")
     ready = F.coalesce("ready_now_count", F.lit(0))
     g = F.col("g")
     return d.select(
-        "office_id", "country", "region", "skill_id", "skill_name", "demand_score", F.col("supply").alias("supply_fte"),
-        F.round(g, 2).alias("gap_value"),
+        "office_id", "country", "region", "skill_id", "skill_name", F.col("score").cast("double").alias("demand_score"),
+        F.col("supply").cast("double").alias("supply_fte"), g.cast("double").alias("gap_value"),
+        F.round(F.col("sure").cast("double") / F.col("n_sure"), 4).alias("avg_confidence"),
         F.when(g > 0, tier(g, ((3, "Critical"), (1.5, "High")), "Moderate")).otherwise("Covered").alias("gap_severity"),
         F.when(F.col("urgency_score") == 3, "high").when(F.col("urgency_score") == 2, "medium").otherwise("low").alias("urgency"),
         F.when(F.col("skill_name").rlike(STRATEGIC), "high").when(F.col("source_count") >= 2, "medium")
         .otherwise("targeted").alias("strategic_alignment"), "source_count",
         F.when((g >= 3) & (ready == 0), "Recruit").when((g >= 2) & (ready > 0), "Mobilize talent")
         .when((F.col("urgency_score") == 3) & (g >= 1), "Temporary surge support").when(g > 0, "Capability development")
-        .otherwise("Monitor").alias("recommended_action"), F.substring("evidence_summary", 1, 900).alias("evidence_summary"))
+        .otherwise("Monitor").alias("recommended_action"), F.substring("evidence_summary", 1, 900).alias("evidence_summary"),
+        F.concat(F.lit(MODEL_NOTE), risky, F.lit(".")).alias("assumption_or_model_note"))

@@ -362,21 +362,22 @@ def status_normalised(spark, sf):
     return table(spark, sf, "orders").select("o_orderkey", clean.mapped(raw, shipments.STATUSES).alias("status"))
 
 
-@query("""SELECT o_orderkey, CASE o_orderkey % 4 WHEN 3 THEN NULL ELSE CAST(year(o_orderdate) AS INTEGER) END AS fiscal_year FROM orders
-  WHERE year(o_orderdate) >= 2000 OR o_orderkey % 4 <> 2""")
+@query("""SELECT o_orderkey, CASE o_orderkey % 4 WHEN 3 THEN NULL WHEN 2 THEN CAST(2000 + year(o_orderdate) % 100 AS INTEGER)
+  ELSE CAST(year(o_orderdate) AS INTEGER) END AS fiscal_year FROM orders""")
 def fiscal_year_normalised(spark, sf):
-    o = table(spark, sf, "orders").where("year(o_orderdate) >= 2000 OR o_orderkey % 4 <> 2")
+    o = table(spark, sf, "orders")
     y, k = F.year("o_orderdate"), F.col("o_orderkey") % 4
     raw = (F.when(k == 0, y.cast("string")).when(k == 1, F.concat_ws("-", (y - 1).cast("string"), y.cast("string")))
            .when(k == 2, F.concat(F.lit("FY"), F.lpad((y % 100).cast("string"), 2, "0"))).otherwise("unknown"))
     return o.select("o_orderkey", clean.fiscal_year(raw).alias("fiscal_year"))
 
 
-@query("SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 3 THEN NULL ELSE CAST(o_orderdate AS DATE) END AS order_day FROM orders", dates=("order_day",))
+@query("""SELECT o_orderkey, CASE o_orderkey % 5 WHEN 3 THEN NULL WHEN 4 THEN make_date(2000 + year(o_orderdate) % 100, month(o_orderdate), day(o_orderdate))
+  ELSE CAST(o_orderdate AS DATE) END AS order_day FROM orders""", dates=("order_day",))
 def multi_format_dates(spark, sf):
-    k = F.col("o_orderkey") % 4
-    raw = (F.when(k == 0, F.date_format("o_orderdate", "yyyy-MM-dd")).when(k == 1, F.date_format("o_orderdate", "dd/MM/yyyy"))
-           .when(k == 2, F.unix_millis(F.col("o_orderdate").cast("timestamp")).cast("string")).otherwise("2025-02-30"))
+    k = F.col("o_orderkey") % 5
+    raw = (F.when(k == 0, F.date_format("o_orderdate", "yyyy-MM-dd")).when(k == 1, F.date_format("o_orderdate", "MM/dd/yyyy"))
+           .when(k == 4, F.date_format("o_orderdate", "dd-MMM-yy")).when(k == 2, F.unix_millis(F.col("o_orderdate").cast("timestamp")).cast("string")).otherwise("2025-02-30"))
     return table(spark, sf, "orders").select("o_orderkey", clean.date_of(raw, funding.DATE_FORMATS, epoch_millis=True).alias("order_day"))
 
 
@@ -635,7 +636,7 @@ def programme_monthly_summary(spark, sf):
 # --- funding -------------------------------------------------------------------------
 
 CONTRIB = """WITH c AS (
-  SELECT 'C' || o_orderkey AS contribution_id, 'D' || (o_custkey % 40) AS donor_id, 'P' || (o_custkey % 6) AS programme_id,
+  SELECT 'c' || o_orderkey AS contribution_id, 'D' || (o_custkey % 40) AS donor_id, 'P' || (o_custkey % 6) AS programme_id,
     CAST(year(o_orderdate) AS INTEGER) AS fiscal_year, CAST(o_orderdate AS DATE) AS contribution_date,
     CASE o_orderkey % 3 WHEN 0 THEN 'EUR' WHEN 1 THEN 'GBP' ELSE 'XXX' END AS currency, CAST(o_totalprice AS DECIMAL(18,2)) AS amount,
     CASE WHEN o_orderstatus = 'F' THEN 'received' ELSE 'committed' END AS status, o_orderkey % 2 = 0 AS is_json, o_orderkey, o_custkey FROM orders),
@@ -656,7 +657,7 @@ def _contributions(spark, sf):
     common = {"CONTRIBUTION_ID": F.concat(F.lit("c"), k), "DONOR_ID": F.concat(F.lit("D"), F.col("o_custkey") % 40),
               "PROGRAMME_ID": F.concat(F.lit("P"), F.col("o_custkey") % 6), "FISCAL_YEAR": F.year("o_orderdate").cast("string"),
               "CURRENCY_ORIGINAL": cur, "AMOUNT_ORIGINAL": F.col("o_totalprice").cast("decimal(18,2)").cast("string"), "STATUS": status}
-    csv = o.where("o_orderkey % 2 = 1").select(*[c.alias(n) for n, c in common.items()], F.date_format("o_orderdate", "dd/MM/yyyy").alias("CONTRIBUTION_DATE"))
+    csv = o.where("o_orderkey % 2 = 1").select(*[c.alias(n) for n, c in common.items()], F.date_format("o_orderdate", "MM/dd/yyyy").alias("CONTRIBUTION_DATE"))
     js = o.where("o_orderkey % 2 = 0").select(*[c.alias(n.lower()) for n, c in common.items()],
                                               F.unix_millis(F.col("o_orderdate").cast("timestamp")).cast("string").alias("contribution_date"))
     months = o.select(F.date_format("o_orderdate", "yyyy-MM").alias("rate_month")).distinct()
@@ -683,6 +684,35 @@ def contribution_quarantine(spark, sf):
     return _contributions(spark, sf)[1].select("contribution_id", classify.joined_reasons(",").alias("reasons"), "comment")
 
 
+@query("""SELECT DISTINCT 'D' || (c_nationkey % 7) AS donor_id, 'Donor ' || (c_nationkey % 7) AS donor_name,
+  CASE WHEN c_nationkey % 7 % 2 = 0 THEN 'government' ELSE 'private' END AS donor_type, 'N' || (c_nationkey % 7) AS country FROM customer""")
+def donors_conformed(spark, sf):
+    k = F.col("c_nationkey") % 7
+    raw = table(spark, sf, "customer").select(
+        F.concat(F.lit(" D"), k).alias("DONOR_ID"), F.concat(F.lit("Donor "), k, F.lit(" ")).alias("DONOR_NAME"),
+        F.when(k % 2 == 0, "GOVERNMENT ").otherwise("Private").alias("DONOR_TYPE"), F.concat(F.lit("N"), k).alias("COUNTRY"))
+    return funding.conform_donors(raw)
+
+
+@query("""SELECT 'G' || o_orderkey AS grant_id, 'ref ' || o_custkey AS grant_reference, 'd' || (o_custkey % 40) AS donor_id, 'p' || (o_custkey % 6) AS programme_id,
+  CASE WHEN o_orderkey % 9 = 0 THEN NULL ELSE CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS DOUBLE) END AS amount_committed_usd,
+  CASE WHEN o_orderkey % 8 = 1 THEN NULL ELSE CAST(o_orderdate AS DATE) END AS signed_date, CASE o_orderkey % 3 WHEN 0 THEN 'quarterly' WHEN 1 THEN 'annual' END AS reporting_frequency,
+  CASE WHEN o_orderkey % 3 < 2 THEN CAST(o_orderdate AS DATE) + 1 END AS next_due_date, CASE o_orderkey % 4 WHEN 0 THEN '' WHEN 1 THEN o_orderstatus ELSE o_orderstatus || ',' || o_orderpriority END AS tags_str
+  FROM orders""", dates=("signed_date", "next_due_date"))
+def grants_conformed(spark, sf):
+    o, k = table(spark, sf, "orders"), F.col("o_orderkey")
+    due = F.unix_millis(F.col("o_orderdate").cast("timestamp")) + 86_400_000 + k % 1000
+    report = F.struct(F.when(k % 3 == 0, "quarterly").otherwise("annual").alias("frequency"), due.alias("next_due_date_epoch"))
+    tags = F.when(k % 4 == 1, F.array("o_orderstatus")).when(k % 4 > 1, F.array("o_orderstatus", "o_orderpriority"))
+    one = o.select(
+        F.concat(F.lit(" G"), k).alias("grant_id"), F.concat(F.lit("ref "), F.col("o_custkey"), F.lit(" ")).alias("grant_reference"),
+        F.concat(F.lit("d"), F.col("o_custkey") % 40).alias("donor_id"), F.concat(F.lit("p"), F.col("o_custkey") % 6).alias("programme_id"),
+        F.when(k % 9 == 0, "n/a").otherwise(F.col("o_totalprice").cast("decimal(18,2)").cast("string")).alias("amount_committed_usd"),
+        F.when(k % 8 == 1, F.date_format("o_orderdate", "dd.MM.yyyy")).otherwise(F.date_format("o_orderdate", "yyyy-MM-dd")).alias("signed_date"),
+        F.when(k % 3 < 2, report).alias("reporting"), tags.alias("tags"))
+    return funding.grants(one.unionByName(one)).withColumn("amount_committed_usd", F.col("amount_committed_usd").cast("double"))
+
+
 SUMMARY = CONTRIB + """, summary AS (SELECT programme_id, fiscal_year,
   CAST(sum(CASE WHEN status = 'committed' THEN amount_usd ELSE 0 END) AS DECIMAL(18,2)) AS committed_usd,
   CAST(sum(CASE WHEN status = 'received' THEN amount_usd ELSE 0 END) AS DECIMAL(18,2)) AS received_usd, count(*) AS n_contributions
@@ -969,13 +999,13 @@ def signal_quarantine(spark, sf):
 
 STAFF = """WITH sup AS (SELECT 'O' || (s_nationkey % 5) AS office_id, 'K' || (s_nationkey % 5) AS country, 'R' AS region,
   CASE s_suppkey % 3 WHEN 0 THEN 'SK001' WHEN 1 THEN 'SK011' ELSE 'SK020' END AS skill_id, s_suppkey,
-  CASE WHEN s_suppkey % 4 = 0 THEN 0.35 ELSE 1.0 END AS active, CAST(s_suppkey % 6 AS DOUBLE) / 5.0 AS prof,
+  CASE WHEN s_suppkey % 4 = 0 THEN 0.35 ELSE 1.00 END AS active, CAST(s_suppkey % 6 AS DECIMAL(8,4)) * 0.2 AS prof,
   CASE s_suppkey % 3 WHEN 0 THEN 0.65 WHEN 1 THEN 0.85 ELSE 1.0 END AS risk, CASE s_suppkey % 4 WHEN 0 THEN 1.05 WHEN 1 THEN 0.9 ELSE 0.75 END AS mob FROM supplier),
-now AS (SELECT office_id, country, region, skill_id, count(DISTINCT s_suppkey) AS employees_with_skill, sum(CAST(active AS DOUBLE) * prof * risk * mob) AS cur,
+now AS (SELECT office_id, country, region, skill_id, count(DISTINCT s_suppkey) AS employees_with_skill, sum(active * prof * risk * mob) AS cur,
   count(*) FILTER (s_suppkey % 4 = 0) AS ready_now_count, count(*) FILTER (s_suppkey % 3 = 0) AS high_retention_risk_count FROM sup GROUP BY ALL),
-plan AS (SELECT 'O' || (p_partkey % 6) AS office_id, 'SK001' AS skill_id, sum(CASE p_partkey % 3 WHEN 0 THEN 0.5 WHEN 1 THEN 0.5 * 0.55 ELSE 0.0 END) AS planned FROM part GROUP BY 1),
+plan AS (SELECT 'O' || (p_partkey % 6) AS office_id, 'SK001' AS skill_id, sum(CASE p_partkey % 3 WHEN 0 THEN 0.5 WHEN 1 THEN 0.275 ELSE 0.0 END) AS planned FROM part GROUP BY 1),
 supply AS (SELECT coalesce(n.office_id, p.office_id) AS office_id, country, region, coalesce(n.skill_id, p.skill_id) AS skill_id, coalesce(employees_with_skill, 0) AS employees_with_skill,
-  round(coalesce(cur, 0) + coalesce(planned, 0), 6) AS supply_fte, coalesce(ready_now_count, 0) AS ready_now_count, coalesce(high_retention_risk_count, 0) AS high_retention_risk_count
+  coalesce(cur, 0) + coalesce(planned, 0) AS supply_fte, coalesce(ready_now_count, 0) AS ready_now_count, coalesce(high_retention_risk_count, 0) AS high_retention_risk_count
   FROM now n FULL JOIN plan p ON n.office_id = p.office_id AND n.skill_id = p.skill_id)
 """
 
@@ -995,27 +1025,30 @@ def _supply(spark, sf) -> DataFrame:
     return workforce.supply(employees, skills, talent, planned)
 
 
-@query(STAFF + "SELECT * FROM supply")
+@query(STAFF + "SELECT * REPLACE (CAST(round(supply_fte, 6) AS DOUBLE) AS supply_fte) FROM supply")
 def skill_supply(spark, sf):
-    return _supply(spark, sf).select("office_id", "country", "region", "skill_id", "employees_with_skill", F.round("supply_fte", 6).alias("supply_fte"),
+    return _supply(spark, sf).select("office_id", "country", "region", "skill_id", "employees_with_skill", F.round("supply_fte", 6).cast("double").alias("supply_fte"),
                                      "ready_now_count", "high_retention_risk_count")
 
 
 GAP = SIGNALS + ", " + STAFF.strip().removeprefix("WITH ") + """, demand AS (SELECT office_id, country, region, skill_id, skill_name, count(DISTINCT source_id) AS source_count,
-  max(CASE urgency WHEN 'high' THEN 3 WHEN 'medium' THEN 2 ELSE 1 END) AS u, round(sum(CASE WHEN demand_direction = 'increasing' THEN CAST(confidence AS DOUBLE) ELSE 0.0 END)
-   + max(CASE urgency WHEN 'high' THEN 3 WHEN 'medium' THEN 2 ELSE 1 END) * 0.5, 2) AS demand_score FROM sig WHERE NOT negated AND office_id <> '' GROUP BY office_id, country, region, skill_id, skill_name),
-s2 AS (SELECT office_id, skill_id, sum(supply_fte) AS supply_fte, sum(ready_now_count) AS ready FROM supply GROUP BY ALL),
-g AS (SELECT d.*, round(coalesce(s2.supply_fte, 0), 2) AS supply_fte, coalesce(ready, 0) AS ready, greatest(demand_score - round(coalesce(s2.supply_fte, 0), 2), 0) AS g FROM demand d LEFT JOIN s2 USING (office_id, skill_id))
-SELECT office_id, country, skill_id, demand_score, supply_fte, round(g, 2) AS gap_value, CASE WHEN g >= 3 THEN 'Critical' WHEN g >= 1.5 THEN 'High' WHEN g > 0 THEN 'Moderate' ELSE 'Covered' END AS gap_severity,
+  max(CASE urgency WHEN 'high' THEN 3 WHEN 'medium' THEN 2 ELSE 1 END) AS u, round(sum(CASE WHEN demand_direction = 'increasing' THEN CAST(confidence AS DECIMAL(8,4)) ELSE 0 END)
+   + max(CASE urgency WHEN 'high' THEN 3 WHEN 'medium' THEN 2 ELSE 1 END) * 0.5, 2) AS demand_score,
+   round(CAST(sum(CAST(confidence AS DECIMAL(8,4))) AS DOUBLE) / count(*), 4) AS avg_confidence FROM sig WHERE NOT negated AND office_id <> '' GROUP BY office_id, country, region, skill_id, skill_name),
+s2 AS (SELECT office_id, skill_id, sum(supply_fte) AS supply_fte, sum(ready_now_count) AS ready, sum(high_retention_risk_count) AS risky FROM supply GROUP BY ALL),
+g AS (SELECT d.*, round(coalesce(s2.supply_fte, 0), 2) AS supply_fte, coalesce(ready, 0) AS ready, CAST(coalesce(risky, 0) AS BIGINT) AS risky, greatest(demand_score - round(coalesce(s2.supply_fte, 0), 2), 0) AS g FROM demand d LEFT JOIN s2 USING (office_id, skill_id))
+SELECT office_id, country, skill_id, CAST(demand_score AS DOUBLE) AS demand_score, CAST(supply_fte AS DOUBLE) AS supply_fte, CAST(g AS DOUBLE) AS gap_value, avg_confidence, CASE WHEN g >= 3 THEN 'Critical' WHEN g >= 1.5 THEN 'High' WHEN g > 0 THEN 'Moderate' ELSE 'Covered' END AS gap_severity,
  CASE u WHEN 3 THEN 'high' WHEN 2 THEN 'medium' ELSE 'low' END AS urgency, CASE WHEN regexp_matches(skill_name, 'Climate|Data|Artificial|Digital|Cybersecurity') THEN 'high' WHEN source_count >= 2 THEN 'medium' ELSE 'targeted' END AS strategic_alignment,
- source_count, CASE WHEN g >= 3 AND ready = 0 THEN 'Recruit' WHEN g >= 2 AND ready > 0 THEN 'Mobilize talent' WHEN u = 3 AND g >= 1 THEN 'Temporary surge support' WHEN g > 0 THEN 'Capability development' ELSE 'Monitor' END AS recommended_action FROM g"""
+ source_count, CASE WHEN g >= 3 AND ready = 0 THEN 'Recruit' WHEN g >= 2 AND ready > 0 THEN 'Mobilize talent' WHEN u = 3 AND g >= 1 THEN 'Temporary surge support' WHEN g > 0 THEN 'Capability development' ELSE 'Monitor' END AS recommended_action,
+ '""" + workforce.MODEL_NOTE + """' || risky || '.' AS assumption_or_model_note FROM g"""
 
 
 @query(GAP)
 def workforce_gap(spark, sf):
     accepted = workforce.classify_signals(_signals(spark, sf))[0]
     return workforce.gap(accepted, _supply(spark, sf)).select(
-        "office_id", "country", "skill_id", "demand_score", "supply_fte", "gap_value", "gap_severity", "urgency", "strategic_alignment", "source_count", "recommended_action")
+        "office_id", "country", "skill_id", "demand_score", "supply_fte", "gap_value", "gap_severity", "urgency", "strategic_alignment", "source_count",
+        "recommended_action", "avg_confidence", "assumption_or_model_note")
 
 
 # --- case documents: orders rendered as the two forms ----------------------------------------
