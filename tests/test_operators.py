@@ -123,6 +123,36 @@ def test_versioned_table(spark, tmp_path):
     assert [r["k"] for r in t.read().collect()] == [9]
 
 
+def test_two_writers_and_a_failing_second_table(spark, tmp_path):
+    root = f"file://{tmp_path}"
+    a, again = sinks.VersionedTable(spark, root, "a"), sinks.VersionedTable(spark, root, "a")
+    one = spark.createDataFrame([(1, "x")], "k int, v string")
+    a.append(one)
+    at = again.latest()
+    folder = again.stage(one)
+    a.append(one.withColumn("k", F.lit(2)))
+    with pytest.raises(RuntimeError):  # it would lose what the other one added
+        again.promote(folder, at)
+    assert sorted(r["k"] for r in a.read().collect()) == [1, 2] and len(a.folders(a.latest())) == 2
+    b = sinks.VersionedTable(spark, root, "b")
+    b.append(one)
+    before = (a.latest(), b.latest())
+
+    def audit(frames):  # someone else publishes the second table meanwhile
+        b.append(one)
+        return []
+
+    with pytest.raises(RuntimeError):
+        sinks.publish([(a, one.limit(1)), (b, one)], audit)
+    assert a.latest() == before[0] and sorted(r["k"] for r in a.read().collect()) == [1, 2]
+    assert b.latest() == before[1] + 1 and b.read().count() == 2
+    a.overwrite(one)
+    assert a.vacuum() == 2 and a.read().count() == 1 and a.vacuum() == 0
+    sinks.create_database(spark, "quarry_db")
+    assert spark.catalog.databaseExists("quarry_db")
+    spark.sql("DROP DATABASE quarry_db")
+
+
 def test_publish_holds_warns_and_cleans_up(spark, tmp_path):
     t = sinks.VersionedTable(spark, f"file://{tmp_path}", "g")
     good = spark.createDataFrame([(1,)], "k int")
