@@ -34,6 +34,22 @@ def currency(c: Column | str, kind: str = "decimal(10,2)") -> Column:
     return F.regexp_replace(_col(c), r"[$,]", "").try_cast(kind)
 
 
+def money(c: Column | str) -> Column:
+    """Two decimals as a double, rounded once from an exact decimal."""
+    c = F.col(c) if isinstance(c, str) else c
+    return F.round(c, 2).cast("decimal(18,2)").cast("double")
+
+
+def average(c: Column | str, places: int = 2) -> Column:
+    """An average to a few decimals: through six digits, so that halves round the same way everywhere."""
+    return F.round(F.avg(c).cast("decimal(20,6)"), places).cast("decimal(18,2)").cast("double")
+
+
+def exact(c: str) -> Column:
+    """An amount of two decimals that is a double, as a decimal."""
+    return F.col(c).cast("decimal(18,2)")
+
+
 def date_of(c: Column | str, formats: Iterable[str], epoch_millis: bool = False) -> Column:
     """The first of ``formats`` that reads the text; then, if asked for, milliseconds since 1970."""
     c = F.trim(_col(c).cast("string"))

@@ -239,7 +239,7 @@ def case_overview(current: DataFrame, historical: DataFrame) -> DataFrame:
     new = current.select("case_reference", "district", F.col("current_seriousness").alias("seriousness"), F.when(
         F.col("version_count") > 1, "FOLLOW-UP").otherwise("INITIAL").alias("report_status"),
         (F.col("duplicate_document_count") > 0).cast("int").alias("is_duplicate"))
-    old = historical.where("processing_status = 'READY_FOR_DASHBOARD'").select(
+    old = historical.where(READY).select(
         F.col("case_id").alias("case_reference"), "district", "seriousness",
         F.when(F.col("follow_up_flag") == "True", "FOLLOW-UP").otherwise("INITIAL").alias("report_status"),
         (F.col("duplicate_flag") == "True").cast("int").alias("is_duplicate"))
@@ -247,6 +247,26 @@ def case_overview(current: DataFrame, historical: DataFrame) -> DataFrame:
         F.count_distinct("case_reference").alias("case_count"), F.sum("is_duplicate").cast("bigint").alias("duplicate_count"))
 
 
+READY = "processing_status = 'READY_FOR_DASHBOARD'"
+
+
+def product_reactions(historical: DataFrame) -> DataFrame:
+    """Cases and serious events by product, ingredient, class, reaction and its category."""
+    return historical.where(READY).groupBy(
+        "standard_product_name", "active_ingredient", "product_class", "reaction_term", "reaction_category").agg(
+        F.count_distinct("case_id").alias("distinct_case_count"),
+        F.count_if(F.col("seriousness") == "Serious").alias("serious_event_count"))
+
+
+def facility_reporting(historical: DataFrame) -> DataFrame:
+    """Cases and mean timeliness, completeness and confidence by place and reporter; text that is no number counts as none."""
+    mean = lambda c: F.avg(F.col(c).try_cast("double")).alias(f"avg_{c}")
+    return historical.where(READY).groupBy(
+        "district", "region", "facility_name", "facility_type", "report_source", "reporter_type").agg(
+        F.count_distinct("case_id").alias("distinct_case_count"), mean("days_to_report"), mean("completeness_score"),
+        mean("extraction_confidence"))
+
+
 def pipeline_health(classified: DataFrame, versions: DataFrame, queue: DataFrame) -> DataFrame:
     """Documents by classification beside the totals; the totals are one row, joined on."""
     totals = versions.agg(F.count(F.lit(1)).alias("version_count")).crossJoin(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarrystone.functions.clean import slug_words, tier
+from quarrystone.functions.clean import average, slug_words, tier
 from quarrystone.operators.classify import classify
 from quarrystone.operators.dedupe import latest
 
@@ -47,16 +47,44 @@ def results_pivot(games: DataFrame, *keys: str) -> DataFrame:
     return games.groupBy(*keys).pivot("result", list(RESULTS)).count().fillna(0, list(RESULTS))
 
 
-def with_rates(pivoted: DataFrame) -> DataFrame:
-    n = F.col("win") + F.col("draw") + F.col("loss")
-    return pivoted.withColumn("games", n).withColumn("win_rate", F.round(F.col("win") / n, 4))
+def _won(result: str):
+    return F.count_if(F.col("result") == result)
+
+
+def _rate(df: DataFrame, wins: str) -> DataFrame:
+    return df.withColumn("win_rate", F.round(F.col(wins) / F.col("games"), 4))
+
+
+def player_summary(games: DataFrame) -> DataFrame:
+    """One row for each player: days, ratings, first and last game, results; one pass, no pivot and no join."""
+    return _rate(games.groupBy("username").agg(
+        F.count("game_id").alias("games"), F.count_distinct("game_date").alias("active_days"),
+        average("target_rating").alias("average_rating"), average("opponent_rating").alias("average_opponent_rating"),
+        F.min("game_end_at").alias("first_game_at"), F.max("game_end_at").alias("last_game_at"),
+        *(_won(r).alias(r) for r in RESULTS)), "win")
+
+
+def player_segment(summary: DataFrame) -> DataFrame:
+    return summary.select("username", "games", "active_days", "average_rating", segment("games").alias("player_segment"))
 
 
 def daily_activity(games: DataFrame) -> DataFrame:
-    """By player and day: games, last rating of the day and its change from the day before."""
+    return _rate(games.groupBy("username", "game_date").agg(
+        F.count("game_id").alias("games"), _won("win").alias("wins"), _won("draw").alias("draws"), _won("loss").alias("losses"),
+        average("target_rating").alias("average_rating")), "wins")
+
+
+def opening_performance(games: DataFrame) -> DataFrame:
+    return _rate(games.groupBy("username", "opening").agg(
+        F.count("game_id").alias("games"), _won("win").alias("wins"),
+        average("opponent_rating").alias("average_opponent_rating")), "wins")
+
+
+def rating_progression(games: DataFrame) -> DataFrame:
+    """By player and day: the last rating of the day and its change from the player's day before."""
     by = games.groupBy("username", "game_date").agg(
-        F.count(F.lit(1)).alias("games"), F.max_by("target_rating", F.struct("game_end_at", "game_id")).alias("closing_rating"))
-    return by.withColumn("rating_change", F.col("closing_rating") - F.lag("closing_rating").over(
+        F.max_by("target_rating", F.struct("game_end_at", "game_id")).alias("ending_rating"))
+    return by.withColumn("rating_change", F.col("ending_rating") - F.lag("ending_rating").over(
         Window.partitionBy("username").orderBy("game_date")))
 
 

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarrystone.functions.clean import optional
-from quarrystone.operators.classify import classify, known
+from quarrystone.operators.classify import REASONS, classify, known
 from quarrystone.operators.dedupe import latest
 from quarrystone.operators.temporal import ledger_since
 
@@ -80,7 +83,7 @@ def current_stock(snapshots: DataFrame, changes: DataFrame, items: DataFrame) ->
         "store_id", "item_id", "item_name", "category", F.col("quantity").alias("snapshot_quantity"),
         F.col("change_total").cast("bigint").alias("change_quantity"), current.cast("bigint").alias("current_quantity"),
         "safety_stock_quantity", (current < F.col("safety_stock_quantity")).alias("below_safety_stock"),
-        F.greatest("date_time", "last_change_at").alias("last_movement_at"))
+        F.col("date_time").alias("snapshot_at"), F.greatest("date_time", "last_change_at").alias("last_movement_at"))
 
 
 def stock_kpis(stock: DataFrame) -> DataFrame:
@@ -104,5 +107,29 @@ def sales_by(changes: DataFrame, *keys: str) -> DataFrame:
                                                 F.count_distinct("trans_id").alias("n_transactions"))
 
 
+def quality_trend(profiles: DataFrame) -> DataFrame:
+    """Rejections of the silver layer, a row for each run."""
+    return profiles.where("layer = 'silver'").select("run_id", "profiled_at", "rejected_records", "rejected_rate")
+
+
+def failed_rules(quarantines: Sequence[DataFrame], n: int = 10) -> DataFrame:
+    """The rules that set most rows aside over several quarantines."""
+    reasons = reduce(DataFrame.unionByName, [q.select(F.explode(REASONS).alias("quality_rule")) for q in quarantines])
+    return reasons.groupBy("quality_rule").agg(F.count(F.lit(1)).alias("n_rows")).orderBy(F.desc("n_rows"), "quality_rule").limit(n)
+
+
+SERVED = ("store_id", "store_name", "store_type", "item_id", "item_name", "category", "snapshot_quantity", "snapshot_date_time",
+          "inventory_change_quantity", "current_inventory_quantity", "safety_stock_quantity", "below_safety_stock",
+          "last_inventory_timestamp")
+
+
+def served_stock(stock: DataFrame, stores: DataFrame) -> DataFrame:
+    """The published layout, with what is short and least in stock first."""
+    named = stock.join(stores.select("store_id", "store_name", "store_type"), "store_id", "left").withColumnsRenamed({
+        "snapshot_at": "snapshot_date_time", "change_quantity": "inventory_change_quantity",
+        "current_quantity": "current_inventory_quantity", "last_movement_at": "last_inventory_timestamp"})
+    return named.select(*SERVED).orderBy(F.desc("below_safety_stock"), "current_inventory_quantity", "store_id", "item_id")
+
+
 def freshness_minutes(df: DataFrame, at: str, now) -> DataFrame:
     return df.agg(F.floor((F.unix_timestamp(now) - F.unix_timestamp(F.max(at).cast("timestamp"))) / 60).alias("minutes"))

@@ -50,8 +50,10 @@ WITH sales AS (
          CAST(p.p_type AS VARCHAR) AS product, CAST(l.l_quantity AS BIGINT) AS quantity,
          CAST(l.l_extendedprice AS DECIMAL(18,2)) * (1 - CAST(l.l_discount AS DECIMAL(18,2))) AS totalPrice,
          l.l_returnflag AS paymentMethod, s.s_name AS franchise_name, sn.n_name AS city, sr.r_name AS district,
-         sn.n_name AS country, concat('size_', CAST(s.s_nationkey % 3 AS VARCHAR)) AS size, c.c_name AS customer_name,
-         c.c_mktsegment AS gender, cn.n_name AS customer_country, cr.r_name AS continent,
+         sn.n_name AS country, concat('size_', CAST(s.s_nationkey % 3 AS VARCHAR)) AS store_size,
+         s.s_nationkey * 7.25 AS longitude, s.s_suppkey % 90 + 0.5 AS latitude,
+         CAST(CAST(l.l_extendedprice AS DECIMAL(18,2)) / CAST(l.l_quantity AS BIGINT) AS DECIMAL(18,6)) AS unitPrice, c.c_name AS customer_name,
+         c.c_mktsegment AS gender, cn.n_name AS customer_country, cr.r_name AS customer_continent,
          CAST(o.o_orderdate AS DATE) AS transaction_date, strftime(o.o_orderdate, '%Y-%m') AS transaction_month
   FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey LEFT JOIN part p ON l.l_partkey = p.p_partkey
   LEFT JOIN supplier s ON l.l_suppkey = s.s_suppkey LEFT JOIN nation sn ON s.s_nationkey = sn.n_nationkey
@@ -70,7 +72,7 @@ def _transactions(spark, sf) -> DataFrame:
         F.col("l_orderkey").alias("transactionID"), F.col("o_custkey").alias("customerID"),
         F.col("l_suppkey").alias("franchiseID"), F.col("o_orderdate").alias("dateTime"),
         F.col("p_type").cast("string").alias("product"), F.col("l_quantity").cast("bigint").alias("quantity"),
-        (F.col("l_extendedprice") / F.col("l_quantity")).alias("unitPrice"), price.alias("totalPrice"),
+        (F.col("l_extendedprice").cast("decimal(18,2)") / F.col("l_quantity").cast("bigint")).cast("decimal(18,6)").alias("unitPrice"), price.alias("totalPrice"),
         F.col("l_returnflag").alias("paymentMethod"))
 
 
@@ -85,7 +87,8 @@ def _franchises(spark, sf) -> DataFrame:
         F.col("s_suppkey").alias("franchiseID"), F.col("s_name").alias("franchise_name"), F.col("n_name").alias("city"),
         F.col("r_name").alias("district"), F.col("n_name").alias("country"),
         F.concat(F.lit("size_"), (F.col("s_nationkey") % 3).cast("string")).alias("size"),
-        F.col("s_nationkey").alias("supplierID"))
+        F.col("s_nationkey").alias("supplierID"), (F.col("s_nationkey") * 7.25).cast("double").alias("longitude"),
+        (F.col("s_suppkey") % 90 + 0.5).cast("double").alias("latitude"))
 
 
 def _customers(spark, sf) -> DataFrame:
@@ -105,13 +108,13 @@ def bronze_stamp_sources(spark, sf):
 
 
 @query(SALES + """SELECT transactionID, customerID, franchiseID, product, quantity, CAST(totalPrice AS DOUBLE) AS total_price,
-  paymentMethod, franchise_name, city, district, country, size, customer_name, gender, customer_country, continent,
-  transaction_date, transaction_month, CAST(hour(dateTime) AS BIGINT) AS transaction_hour FROM sales""", dates=("transaction_date",))
+  paymentMethod, franchise_name, city, district, country, store_size, CAST(longitude AS DOUBLE) AS longitude, CAST(latitude AS DOUBLE) AS latitude,
+  customer_name, gender, customer_country, customer_continent, transaction_date, transaction_month, CAST(hour(dateTime) AS BIGINT) AS transaction_hour FROM sales""", dates=("transaction_date",))
 def silver_sales_enriched(spark, sf):
     return _sales(spark, sf).select(
         "transactionID", "customerID", "franchiseID", "product", "quantity", F.col("totalPrice").cast("double").alias("total_price"),
-        "paymentMethod", "franchise_name", "city", "district", "country", "size", "customer_name", "gender",
-        "customer_country", "continent", "transaction_date", "transaction_month",
+        "paymentMethod", "franchise_name", "city", "district", "country", "store_size", "longitude", "latitude", "customer_name", "gender",
+        "customer_country", "customer_continent", "transaction_date", "transaction_month",
         F.col("transaction_hour").cast("bigint").alias("transaction_hour"))
 
 
@@ -133,49 +136,72 @@ def expectation_counts(spark, sf):
         "valid_unit_price": "l_discount > 0"})
 
 
-def _by(keys_: str) -> str:
-    return SALES + f"""SELECT {keys_}, {M} AS total_revenue, CAST(sum(quantity) AS BIGINT) AS total_quantity,
-      count(*) AS transaction_count, {AVG} AS avg_transaction_value FROM sales GROUP BY {keys_}"""
+def _avg(c: str, places: int = 2) -> str:
+    return f"CAST(CAST(round(CAST(avg({c}) AS DECIMAL(20,6)), {places}) AS DECIMAL(18,2)) AS DOUBLE)"
 
 
-@query(_by("transaction_date, franchiseID, franchise_name, city, district, country, size, paymentMethod"), dates=("transaction_date",))
+def _sum(c: str) -> str:
+    return f"CAST(sum(CAST({c} AS DECIMAL(18,2))) AS DOUBLE)"
+
+
+DAILY = SALES + f""", daily AS (SELECT {", ".join(retail.DAILY)}, {M} AS total_revenue, CAST(sum(quantity) AS BIGINT) AS total_units_sold,
+  count(transactionID) AS transaction_count, {AVG} AS avg_transaction_value FROM sales GROUP BY ALL)
+"""
+RANKING = SALES + f""", ranking AS (SELECT * REPLACE (CAST(longitude AS DOUBLE) AS longitude, CAST(latitude AS DOUBLE) AS latitude) FROM (
+  SELECT {", ".join(retail.STORE)}, CAST(sum(quantity) AS BIGINT) AS total_units_sold,
+  count(transactionID) AS transaction_count, {AVG} AS avg_basket_size, count(DISTINCT customerID) AS unique_customers,
+  CAST(rank() OVER (ORDER BY sum(totalPrice) DESC) AS BIGINT) AS revenue_rank, {M} AS total_revenue FROM sales GROUP BY {", ".join(retail.STORE)}))
+"""
+SEGMENTS = SALES + f""", spend AS (SELECT customerID, product, sum(totalPrice) AS spent FROM sales GROUP BY ALL),
+fav AS (SELECT customerID, product AS favourite_product FROM (SELECT *, row_number() OVER (
+  PARTITION BY customerID ORDER BY spent DESC, product) AS n FROM spend) WHERE n = 1),
+seg AS (SELECT {", ".join(retail.CUSTOMER)}, {M} AS total_spend, count(transactionID) AS visit_count, {AVG} AS avg_spend_per_visit,
+  count(DISTINCT franchiseID) AS stores_visited, count(DISTINCT transaction_date) AS active_days, any_value(favourite_product) AS favourite_product,
+  CASE WHEN sum(totalPrice) >= 500 THEN 'High' WHEN sum(totalPrice) >= 200 THEN 'Medium' ELSE 'Low' END AS spend_tier
+  FROM sales LEFT JOIN fav USING (customerID) GROUP BY {", ".join(retail.CUSTOMER)})
+"""
+PRODUCTS = SALES + f""", products AS (SELECT product, {M} AS total_revenue, CAST(sum(quantity) AS BIGINT) AS total_units_sold, count(transactionID) AS transaction_count,
+  {_avg("unitPrice")} AS avg_unit_price, {AVG} AS avg_transaction_value, count(DISTINCT customerID) AS unique_customers,
+  round(CAST(sum(totalPrice) AS DOUBLE) / CAST((SELECT sum(totalPrice) FROM sales) AS DOUBLE), 4) AS revenue_share FROM sales GROUP BY product)
+"""
+
+
+@query(DAILY + "SELECT * FROM daily", dates=("transaction_date",))
 def daily_revenue(spark, sf):
-    return retail.revenue_by(_sales(spark, sf), "transaction_date", "franchiseID", "franchise_name", "city", "district",
-                             "country", "size", "paymentMethod")
+    return retail.daily_revenue(_sales(spark, sf))
 
 
-@query(SALES + f"""SELECT product, {M} AS total_revenue, CAST(sum(quantity) AS BIGINT) AS total_quantity, count(*) AS transaction_count,
-  count(DISTINCT customerID) AS unique_customers,
-  round(CAST(sum(totalPrice) AS DOUBLE) / CAST((SELECT sum(totalPrice) FROM sales) AS DOUBLE), 4) AS revenue_share
-  FROM sales GROUP BY product""")
+@query(PRODUCTS + "SELECT * FROM products")
 def product_revenue_share(spark, sf):
     return retail.product_performance(_sales(spark, sf))
 
 
-RANKING = SALES + f"""SELECT franchiseID, franchise_name, city, district, country, size, count(*) AS transaction_count,
-  count(DISTINCT customerID) AS unique_customers, CAST(rank() OVER (ORDER BY sum(totalPrice) DESC) AS BIGINT) AS revenue_rank,
-  {M} AS total_revenue FROM sales GROUP BY franchiseID, franchise_name, city, district, country, size"""
+@query(PRODUCTS + """SELECT product, total_revenue, total_units_sold, avg_unit_price, avg_transaction_value, unique_customers,
+  round(revenue_share * 100, 2) AS revenue_share_pct FROM products""")
+def product_dashboard(spark, sf):
+    return retail.product_performance(_sales(spark, sf)).select(
+        "product", "total_revenue", "total_units_sold", "avg_unit_price", "avg_transaction_value", "unique_customers",
+        F.round(F.col("revenue_share") * 100, 2).alias("revenue_share_pct"))
 
 
-@query(RANKING)
+@query(RANKING + "SELECT * FROM ranking")
 def franchise_ranking(spark, sf):
     return retail.franchise_ranking(_sales(spark, sf))
 
 
-@query(f"SELECT franchiseID, franchise_name, total_revenue FROM ({RANKING}) ORDER BY total_revenue DESC, franchiseID LIMIT 10")
+TOP = ("revenue_rank", "franchise_name", "city", "country", "store_size", "total_revenue", "transaction_count", "unique_customers",
+       "avg_basket_size")
+
+
+@query(RANKING + f"SELECT {', '.join(TOP)} FROM ranking ORDER BY revenue_rank, franchise_name LIMIT 10")
 def top10_franchises(spark, sf):
-    return retail.top_n(retail.franchise_ranking(_sales(spark, sf)).select(
-        "franchiseID", "franchise_name", "total_revenue"), 10, "total_revenue", "franchiseID")
+    return retail.franchise_ranking(_sales(spark, sf)).select(*TOP).orderBy("revenue_rank", "franchise_name").limit(10)
 
 
-SEGMENTS = SALES + f""", spend AS (SELECT customerID, product, sum(totalPrice) AS spent FROM sales GROUP BY ALL),
-fav AS (SELECT customerID, product AS favourite_product FROM (SELECT *, row_number() OVER (
-  PARTITION BY customerID ORDER BY spent DESC, product) AS n FROM spend) WHERE n = 1),
-seg AS (SELECT customerID, gender, continent, {M} AS total_spend, count(*) AS transaction_count,
-  count(DISTINCT product) AS distinct_products, count(DISTINCT franchiseID) AS distinct_franchises, any_value(favourite_product) AS favourite_product,
-  CASE WHEN sum(totalPrice) >= 500 THEN 'High' WHEN sum(totalPrice) >= 200 THEN 'Medium' ELSE 'Low' END AS spend_tier
-  FROM sales LEFT JOIN fav USING (customerID) GROUP BY customerID, gender, continent)
-"""
+@query(RANKING + f"SELECT {', '.join(TOP)}, longitude, latitude FROM ranking ORDER BY revenue_rank, franchise_name LIMIT 20")
+def top20_franchises_on_map(spark, sf):
+    return retail.franchise_ranking(_sales(spark, sf)).select(*TOP, "longitude", "latitude").orderBy(
+        "revenue_rank", "franchise_name").limit(20)
 
 
 @query(SEGMENTS + "SELECT * FROM seg")
@@ -183,51 +209,76 @@ def customer_segments(spark, sf):
     return retail.customer_segments(_sales(spark, sf))
 
 
-@query(SEGMENTS + """SELECT spend_tier, count(*) AS n_customers, CAST(CAST(round(sum(CAST(total_spend AS DECIMAL(18,2))), 2) AS DECIMAL(18,2)) AS DOUBLE) AS total_spend
+@query(SEGMENTS + f"""SELECT spend_tier, count(customerID) AS customer_count, {_avg("CAST(total_spend AS DECIMAL(18,2))")} AS avg_spend,
+  {_avg("visit_count", 1)} AS avg_visits, {_avg("active_days", 1)} AS avg_active_days, {_avg("stores_visited", 1)} AS avg_stores_visited
   FROM seg GROUP BY spend_tier""")
 def tier_summary(spark, sf):
-    return retail.customer_segments(_sales(spark, sf)).groupBy("spend_tier").agg(
-        F.count(F.lit(1)).alias("n_customers"), retail.money(F.sum(F.col("total_spend").cast("decimal(18,2)"))).alias("total_spend"))
+    return retail.tier_summary(retail.customer_segments(_sales(spark, sf)))
 
 
-@query(SEGMENTS + "SELECT gender, favourite_product, count(*) AS n_customers FROM seg GROUP BY ALL")
+@query(SEGMENTS + f"""SELECT gender, favourite_product, count(*) AS customer_count, {_avg("CAST(total_spend AS DECIMAL(18,2))")} AS avg_spend
+  FROM seg GROUP BY ALL""")
 def favourite_by_segment(spark, sf):
-    return retail.customer_segments(_sales(spark, sf)).groupBy("gender", "favourite_product").agg(
-        F.count(F.lit(1)).alias("n_customers"))
+    return retail.favourites(retail.customer_segments(_sales(spark, sf)))
+
 
+@query(SEGMENTS + """SELECT customerID, customer_name, customer_country, total_spend, visit_count, spend_tier FROM seg
+  ORDER BY total_spend DESC, customerID LIMIT 20""")
+def top20_customers(spark, sf):
+    return retail.top_n(retail.customer_segments(_sales(spark, sf)).select(
+        "customerID", "customer_name", "customer_country", "total_spend", "visit_count", "spend_tier"), 20, "total_spend", "customerID")
 
-@query(SALES + f"""SELECT {M} AS total_revenue, count(*) AS total_transactions, count(DISTINCT customerID) AS unique_customers,
-  {AVG} AS avg_ticket, round(CAST(sum(totalPrice) AS DOUBLE) / count(DISTINCT transaction_date), 2) AS revenue_per_day FROM sales""")
+
+@query(SALES + f"""SELECT count(DISTINCT transactionID) AS total_transactions, count(DISTINCT customerID) AS unique_customers,
+  count(DISTINCT franchiseID) AS active_franchises, {M} AS total_revenue, {AVG} AS avg_basket_size,
+  round(CAST(sum(totalPrice) AS DOUBLE) / count(DISTINCT transaction_date), 2) AS avg_daily_revenue FROM sales""")
 def sales_kpis(spark, sf):
     return retail.kpis(_sales(spark, sf))
 
 
-@query(_by("transaction_date"), dates=("transaction_date",))
+def _daily_by(key: str) -> str:
+    return DAILY + f"""SELECT {key}, {_sum("total_revenue")} AS daily_revenue, CAST(sum(total_units_sold) AS BIGINT) AS daily_units,
+      CAST(sum(transaction_count) AS BIGINT) AS daily_transactions FROM daily GROUP BY {key}"""
+
+
+@query(_daily_by("transaction_date"), dates=("transaction_date",))
 def revenue_by_day(spark, sf):
-    return retail.revenue_by(_sales(spark, sf), "transaction_date")
+    return retail.revenue_by(retail.daily_revenue(_sales(spark, sf)), "transaction_date")
 
 
-@query(_by("transaction_month"))
+@query(_daily_by("transaction_month"))
 def revenue_by_month(spark, sf):
-    return retail.revenue_by(_sales(spark, sf), "transaction_month")
+    return retail.revenue_by(retail.daily_revenue(_sales(spark, sf)), "transaction_month")
+
 
+def _stores_by(key: str, count: str) -> str:
+    return RANKING + f"""SELECT {key}, count(DISTINCT franchiseID) AS {count}, {_sum("total_revenue")} AS total_revenue,
+      CAST(sum(transaction_count) AS BIGINT) AS total_transactions, {_avg("CAST(avg_basket_size AS DECIMAL(18,2))")} AS avg_basket_size
+      FROM ranking GROUP BY {key}"""
 
-@query(_by("country"))
+
+@query(_stores_by("country", "franchise_count"))
 def revenue_by_country(spark, sf):
-    return retail.revenue_by(_sales(spark, sf), "country")
+    return retail.stores_by(retail.franchise_ranking(_sales(spark, sf)), "country", "franchise_count")
 
 
-@query(_by("size"))
+@query(_stores_by("store_size", "store_count"))
 def revenue_by_size(spark, sf):
-    return retail.revenue_by(_sales(spark, sf), "size")
+    return retail.stores_by(retail.franchise_ranking(_sales(spark, sf)), "store_size", "store_count")
 
 
-@query(SALES + f"""SELECT paymentMethod, count(*) AS transaction_count, {M} AS total_revenue,
-  round(count(*) * 100.0 / sum(count(*)) OVER (), 2) AS percentage FROM sales GROUP BY paymentMethod""")
+@query(SALES + f"""SELECT paymentMethod, count(transactionID) AS transaction_count, {M} AS total_revenue, {AVG} AS avg_basket_size,
+  round(count(*) * 100.0 / sum(count(*)) OVER (), 2) AS pct_of_transactions FROM sales GROUP BY paymentMethod""")
 def payment_mix(spark, sf):
     return retail.payment_mix(_sales(spark, sf))
 
 
+@query(SALES + f"""SELECT CAST(hour(dateTime) AS BIGINT) AS transaction_hour, count(transactionID) AS transaction_count, {M} AS total_revenue,
+  {AVG} AS avg_basket_size FROM sales GROUP BY 1""")
+def hourly_sales(spark, sf):
+    return retail.hourly(_sales(spark, sf)).withColumn("transaction_hour", F.col("transaction_hour").cast("bigint"))
+
+
 @query("""SELECT CAST(hour(ts) AS BIGINT) AS activity_hour, count(*) AS n_events, count(DISTINCT user_id) AS n_users
   FROM events GROUP BY 1""")
 def hourly_activity(spark, sf):
@@ -235,11 +286,11 @@ def hourly_activity(spark, sf):
         F.count(F.lit(1)).alias("n_events"), F.count_distinct("user_id").alias("n_users"))
 
 
-@query(SALES + f"""SELECT product, {M} AS total_revenue FROM sales WHERE lower(country) = 'nation_3' OR lower(continent) = 'asia'
+@query(SALES + f"""SELECT product, {M} AS total_revenue FROM sales WHERE lower(country) = 'nation_3' OR lower(customer_continent) = 'asia'
   GROUP BY product""")
 def filtered_products(spark, sf):
     sales = _sales(spark, sf)
-    return sales.where(clean.same_text("country", "NATION_3") | clean.same_text("continent", "Asia")).where(
+    return sales.where(clean.same_text("country", "NATION_3") | clean.same_text("customer_continent", "Asia")).where(
         clean.same_text("product", "All")).groupBy("product").agg(retail.money(F.sum("totalPrice")).alias("total_revenue"))
 
 
@@ -331,10 +382,12 @@ def quarantine_reason_counts(spark, sf):
     return classify.reason_counts(_line_classes(spark, sf)[1])
 
 
-@query(LINES + """SELECT reason, count(*) AS n_rows FROM (SELECT unnest(reasons) AS reason FROM marked) GROUP BY reason
-  ORDER BY n_rows DESC, reason LIMIT 3""")
+@query(LINES + """, moves AS (SELECT list_filter([CASE WHEN user_id % 20 = 7 THEN 'unknown_store_id' END,
+    CASE WHEN event_id % 50 >= 45 THEN 'unknown_item_id' END], lambda x: x IS NOT NULL) AS reasons FROM events)
+SELECT quality_rule, count(*) AS n_rows FROM (SELECT unnest(reasons) AS quality_rule FROM marked UNION ALL SELECT unnest(reasons) FROM moves)
+  GROUP BY quality_rule ORDER BY n_rows DESC, quality_rule LIMIT 10""")
 def failed_rules_top(spark, sf):
-    return retail.top_n(classify.reason_counts(_line_classes(spark, sf)[1]), 3, "n_rows", "reason")
+    return inventory.failed_rules([_line_classes(spark, sf)[1], _changes(spark, sf)[1]])
 
 
 @query(LINES + """SELECT (SELECT count(*) FROM lineitem) AS source_rows, count(*) FILTER (len(reasons) = 0) AS accepted_rows,
@@ -496,7 +549,31 @@ STORE = "CAST(CASE WHEN store_id = 19 THEN 99 ELSE store_id END AS INTEGER)"
 @query(STOCK + f"""SELECT {STORE} AS store_id, item_id, item_name, category, CAST(snapshot_quantity AS INTEGER) AS snapshot_quantity, change_quantity,
   current_quantity, CAST(safety_stock_quantity AS INTEGER) AS safety_stock_quantity, below_safety_stock, last_movement_at FROM stock""", dates=("last_movement_at",))
 def stock_ledger_current(spark, sf):
-    return _stock(spark, sf)
+    return _stock(spark, sf).drop("snapshot_at")
+
+
+@query(STOCK + f"""SELECT {STORE} AS store_id, 'store ' || {STORE} AS store_name, CASE WHEN store_id % 2 = 0 THEN 'mall' ELSE 'street' END AS store_type, item_id, item_name, category,
+  CAST(snapshot_quantity AS INTEGER) AS snapshot_quantity, TIMESTAMP '2024-01-10 00:00:00' AS snapshot_date_time, change_quantity AS inventory_change_quantity,
+  current_quantity AS current_inventory_quantity, CAST(safety_stock_quantity AS INTEGER) AS safety_stock_quantity, below_safety_stock,
+  last_movement_at AS last_inventory_timestamp FROM stock""", dates=("snapshot_date_time", "last_inventory_timestamp"))
+def stock_serving_validation(spark, sf):
+    k = F.col("id")
+    stores = spark.range(20).select(
+        F.when(k == 19, 99).otherwise(k).cast("int").alias("store_id"),
+        F.concat(F.lit("store "), F.when(k == 19, 99).otherwise(k)).alias("store_name"),
+        F.when(k % 2 == 0, "mall").otherwise("street").alias("store_type"))
+    return inventory.served_stock(_stock(spark, sf), stores)
+
+
+@query("""SELECT 'run ' || year(o_orderdate) AS run_id, make_date(year(o_orderdate), 1, 1) AS profiled_at, count(*) FILTER (o_orderkey % 10 = 0) AS rejected_records,
+  round(count(*) FILTER (o_orderkey % 10 = 0) / count(*), 4) AS rejected_rate FROM orders WHERE o_orderstatus = 'F' GROUP BY year(o_orderdate)""", dates=("profiled_at",))
+def quality_trend(spark, sf):
+    bad = F.count_if(F.col("o_orderkey") % 10 == 0)
+    profiles = table(spark, sf, "orders").groupBy(F.year("o_orderdate").alias("y"), "o_orderstatus").agg(
+        bad.alias("rejected_records"), F.round(bad / F.count(F.lit(1)), 4).alias("rejected_rate")).select(
+        F.concat(F.lit("run "), "y").alias("run_id"), F.make_date("y", F.lit(1), F.lit(1)).alias("profiled_at"),
+        F.when(F.col("o_orderstatus") == "F", "silver").otherwise("bronze").alias("layer"), "rejected_records", "rejected_rate")
+    return inventory.quality_trend(profiles)
 
 
 @query(STOCK + """SELECT count(*) AS n_positions, CAST(sum(current_quantity) AS BIGINT) AS units, count(*) FILTER (below_safety_stock) AS below_safety,
@@ -933,23 +1010,41 @@ def game_results_pivot(spark, sf):
     return games.results_pivot(_played(spark, sf)[0], "username", "game_date")
 
 
-@query(PLAYED + """, d AS (SELECT username, game_date, count(*) AS games, arg_max(target_rating, struct_pack(a := date_trunc('second', game_end_at), b := game_id)) AS closing_rating
-  FROM ok GROUP BY ALL) SELECT *, CAST(closing_rating - lag(closing_rating) OVER (PARTITION BY username ORDER BY game_date) AS INTEGER) AS rating_change FROM d""", dates=("game_date",))
+A2 = "CAST(CAST(round(CAST(avg({}) AS DECIMAL(20,6)), 2) AS DECIMAL(18,2)) AS DOUBLE)"
+WON = "count(*) FILTER (result = 'win')"
+SUMMARISED = PLAYED + f""", summary AS (SELECT username, count(*) AS games, count(DISTINCT game_date) AS active_days, {A2.format("target_rating")} AS average_rating,
+  1500.0 AS average_opponent_rating, date_trunc('second', min(game_end_at)) AS first_game_at, date_trunc('second', max(game_end_at)) AS last_game_at,
+  {WON} AS win, count(*) FILTER (result = 'draw') AS draw, count(*) FILTER (result = 'loss') AS loss, round({WON} / count(*), 4) AS win_rate FROM ok GROUP BY username)
+"""
+
+
+@query(PLAYED + """, d AS (SELECT username, game_date, arg_max(target_rating, struct_pack(a := date_trunc('second', game_end_at), b := game_id)) AS ending_rating
+  FROM ok GROUP BY ALL) SELECT *, CAST(ending_rating - lag(ending_rating) OVER (PARTITION BY username ORDER BY game_date) AS INTEGER) AS rating_change FROM d""", dates=("game_date",))
 def rating_change(spark, sf):
-    return games.daily_activity(_played(spark, sf)[0])
+    return games.rating_progression(_played(spark, sf)[0])
 
 
-@query(PLAYED + """SELECT opening, count(*) FILTER (result = 'win') AS win, count(*) FILTER (result = 'draw') AS draw, count(*) FILTER (result = 'loss') AS loss,
-  count(*) AS games, round(count(*) FILTER (result = 'win') / count(*), 4) AS win_rate FROM ok GROUP BY opening""")
-def opening_performance(spark, sf):
-    return games.with_rates(games.results_pivot(_played(spark, sf)[0], "opening"))
+@query(SUMMARISED + "SELECT * REPLACE (CAST(average_opponent_rating AS DOUBLE) AS average_opponent_rating) FROM summary", dates=("first_game_at", "last_game_at"))
+def player_summary(spark, sf):
+    return games.player_summary(_played(spark, sf)[0])
 
 
-@query(PLAYED + """SELECT username, count(*) AS games, CASE WHEN count(*) >= 100 THEN 'POWER' WHEN count(*) >= 30 THEN 'ACTIVE' ELSE 'CASUAL' END AS segment
-  FROM ok GROUP BY username""")
+@query(SUMMARISED + """SELECT username, games, active_days, average_rating, CASE WHEN games >= 100 THEN 'POWER' WHEN games >= 30 THEN 'ACTIVE' ELSE 'CASUAL' END AS player_segment
+  FROM summary""")
 def player_segment(spark, sf):
-    by = _played(spark, sf)[0].groupBy("username").agg(F.count(F.lit(1)).alias("games"))
-    return by.withColumn("segment", games.segment("games"))
+    return games.player_segment(games.player_summary(_played(spark, sf)[0]))
+
+
+@query(PLAYED + f"""SELECT username, game_date, count(*) AS games, {WON} AS wins, count(*) FILTER (result = 'draw') AS draws, count(*) FILTER (result = 'loss') AS losses,
+  {A2.format("target_rating")} AS average_rating, round({WON} / count(*), 4) AS win_rate FROM ok GROUP BY ALL""", dates=("game_date",))
+def daily_activity(spark, sf):
+    return games.daily_activity(_played(spark, sf)[0])
+
+
+@query(PLAYED + f"""SELECT username, opening, count(*) AS games, {WON} AS wins, CAST(1500 AS DOUBLE) AS average_opponent_rating, round({WON} / count(*), 4) AS win_rate
+  FROM ok GROUP BY ALL""")
+def opening_performance(spark, sf):
+    return games.opening_performance(_played(spark, sf)[0])
 
 
 # --- workforce -----------------------------------------------------------------------------
@@ -1182,6 +1277,46 @@ def case_overview(spark, sf):
     return cases.case_overview(new, old)
 
 
+HISTORICAL = """WITH h AS (SELECT 'H' || (o_orderkey // 3) AS case_id, 'Product ' || (o_custkey % 5) AS standard_product_name, 'ingredient ' || (o_custkey % 5 % 3) AS active_ingredient,
+  'class ' || (o_custkey % 5 % 2) AS product_class, 'reaction ' || (o_orderkey % 7) AS reaction_term, CASE WHEN o_orderkey % 7 < 3 THEN 'skin' ELSE 'other' END AS reaction_category,
+  CASE WHEN o_orderstatus = 'F' THEN 'Serious' ELSE 'Non-serious' END AS seriousness, 'D' || (o_custkey % 4) AS district, 'R' || (o_custkey % 4 % 2) AS region,
+  'Clinic ' || (o_custkey % 4) AS facility_name, 'clinic' AS facility_type, o_orderpriority AS report_source, CASE WHEN o_custkey % 2 = 0 THEN 'nurse' ELSE 'doctor' END AS reporter_type,
+  CASE WHEN o_orderkey % 6 = 0 THEN 'unknown' ELSE CAST(o_orderkey % 30 AS VARCHAR) END AS days_to_report, CAST((o_orderkey % 5) * 0.25 AS VARCHAR) AS completeness_score,
+  CAST((o_orderkey % 3) * 0.5 AS VARCHAR) AS extraction_confidence FROM orders WHERE o_orderkey % 10 <> 0)
+"""
+
+
+def _historical(spark, sf) -> DataFrame:
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    name = lambda text, n: F.concat(F.lit(text), n.cast("string"))
+    return table(spark, sf, "orders").select(
+        name("H", F.floor(k / 3)).alias("case_id"), name("Product ", c % 5).alias("standard_product_name"),
+        name("ingredient ", c % 5 % 3).alias("active_ingredient"), name("class ", c % 5 % 2).alias("product_class"),
+        name("reaction ", k % 7).alias("reaction_term"), F.when(k % 7 < 3, "skin").otherwise("other").alias("reaction_category"),
+        F.when(F.col("o_orderstatus") == "F", "Serious").otherwise("Non-serious").alias("seriousness"),
+        name("D", c % 4).alias("district"), name("R", c % 4 % 2).alias("region"), name("Clinic ", c % 4).alias("facility_name"),
+        F.lit("clinic").alias("facility_type"), F.col("o_orderpriority").alias("report_source"),
+        F.when(c % 2 == 0, "nurse").otherwise("doctor").alias("reporter_type"),
+        F.when(k % 6 == 0, "unknown").otherwise((k % 30).cast("string")).alias("days_to_report"),
+        (k % 5 * 0.25).cast("string").alias("completeness_score"), (k % 3 * 0.5).cast("string").alias("extraction_confidence"),
+        F.when(k % 10 == 0, "HELD").otherwise("READY_FOR_DASHBOARD").alias("processing_status"))
+
+
+@query(HISTORICAL + """SELECT standard_product_name, active_ingredient, product_class, reaction_term, reaction_category, count(DISTINCT case_id) AS distinct_case_count,
+  count(*) FILTER (seriousness = 'Serious') AS serious_event_count FROM h GROUP BY ALL""")
+def product_reactions(spark, sf):
+    return cases.product_reactions(_historical(spark, sf))
+
+
+@query(HISTORICAL + """SELECT district, region, facility_name, facility_type, report_source, reporter_type, count(DISTINCT case_id) AS distinct_case_count,
+  round(avg(TRY_CAST(days_to_report AS DOUBLE)), 6) AS avg_days_to_report, round(avg(TRY_CAST(completeness_score AS DOUBLE)), 6) AS avg_completeness_score,
+  round(avg(TRY_CAST(extraction_confidence AS DOUBLE)), 6) AS avg_extraction_confidence FROM h GROUP BY ALL""")
+def facility_reporting(spark, sf):
+    found = cases.facility_reporting(_historical(spark, sf))
+    return found.withColumns({c: F.round(c, 6) for c in found.columns if c.startswith("avg_")})
+
+
+
 # --- governance ----------------------------------------------------------------------------------
 
 @query("""WITH k AS (SELECT CASE WHEN o_orderkey % 50 = 0 THEN NULL ELSE o_custkey END AS k FROM orders)
@@ -1219,15 +1354,33 @@ def not_null_violations(spark, sf):
     return checks.not_null(k, "k").select("c_custkey")
 
 
-@query("SELECT CAST(NULL AS VARCHAR) AS country, CAST(NULL AS DOUBLE) AS left_total, CAST(NULL AS DOUBLE) AS right_total WHERE false")
+def _disagree(where: str) -> str:
+    return DAILY + f""", l AS (SELECT country, {_sum("total_revenue")} AS left_total FROM daily GROUP BY country),
+r AS (SELECT country, {M} AS right_total FROM sales {where} GROUP BY country)
+SELECT country, left_total, right_total FROM l FULL JOIN r USING (country) WHERE abs(coalesce(left_total, 0) - coalesce(right_total, 0)) > 1.0"""
+
+
+def _country_totals(df: DataFrame) -> DataFrame:
+    return df.groupBy("country").agg(retail.money(F.sum(retail.exact("total_revenue"))).alias("total_revenue"))
+
+
+@query(_disagree(""))
 def revenue_consistency(spark, sf):
     sales = _sales(spark, sf)
-    a = retail.revenue_by(sales, "country", "size")
-    b = retail.franchise_ranking(sales)
-    return checks.totals_agree(a, b, "country", "total_revenue", "total_revenue", tolerance=1.0)
+    return checks.totals_agree(_country_totals(retail.daily_revenue(sales)), retail.franchise_ranking(sales), "country", "total_revenue",
+                               "total_revenue", tolerance=1.0)
+
+
+@query(_disagree("WHERE franchiseID % 7 <> 0 OR country = 'NATION_3'"))
+def revenue_disagreements(spark, sf):
+    sales = _sales(spark, sf)
+    kept = sales.where("franchiseID % 7 <> 0 OR country = 'NATION_3'")
+    found = checks.totals_agree(_country_totals(retail.daily_revenue(sales)), retail.franchise_ranking(kept), "country", "total_revenue",
+                                "total_revenue", tolerance=1.0)
+    return found.withColumns({c: F.round(c, 2) for c in ("left_total", "right_total")})
 
 
-@query("SELECT true AS sums_to_one")
+@query(PRODUCTS + "SELECT abs(sum(revenue_share) - 1) < 0.01 AS sums_to_one FROM products")
 def revenue_share_total(spark, sf):
     return retail.product_performance(_sales(spark, sf)).agg((F.abs(F.sum("revenue_share") - 1) < 0.01).alias("sums_to_one"))
 
