@@ -82,6 +82,26 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op1_ngram_join": r"""
+        WITH RECURSIVE words AS (
+          SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        sets AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+            ELSE list_distinct([w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] for i in range(1, len(w) - 1)]) END AS s FROM words),
+        flat AS (SELECT doc_id, len(s) AS n, unnest(s) AS shingle FROM sets),
+        common AS (SELECT a.doc_id AS u, b.doc_id AS v, any_value(a.n) AS n, any_value(b.n) AS m, count(*) AS c FROM flat a JOIN flat b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY ALL),
+        links AS (SELECT u, v FROM common WHERE 100 * c >= 90 * (n + m - c)),
+        twoway AS (SELECT u, v FROM links UNION ALL SELECT v, u FROM links),
+        reach(u, v) AS (SELECT u, v FROM twoway UNION SELECT r.u, b.v FROM reach r JOIN twoway b ON r.v = b.u)
+        SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, least(doc_id, coalesce((SELECT min(v) FROM reach WHERE reach.u = sets.doc_id), doc_id)) AS component_id FROM sets""",
+    "op9_embedding_dedup": r"""
+        WITH RECURSIVE x AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+        good AS (SELECT * FROM x WHERE e IS NOT NULL AND len(list_filter(e, lambda c: c IS NULL OR NOT isfinite(c))) = 0 AND len(list_filter(e, lambda c: c <> 0)) > 0),
+        links AS (SELECT a.vec_id AS u, b.vec_id AS v FROM good a JOIN good b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+          WHERE list_dot_product(a.e, b.e) / (sqrt(list_dot_product(a.e, a.e)) * sqrt(list_dot_product(b.e, b.e))) >= 0.95),
+        reach(u, v) AS (SELECT u, v FROM links UNION SELECT r.u, l.v FROM reach r JOIN links l ON r.v = l.u),
+        low AS (SELECT u, min(v) AS v FROM reach GROUP BY u), many AS (SELECT u, count(*) AS n FROM links GROUP BY u)
+        SELECT vec_id, coalesce(n, 0) AS n_links, least(vec_id, coalesce(v, vec_id)) AS component_id, least(vec_id, coalesce(v, vec_id)) = vec_id AS kept
+        FROM x LEFT JOIN many ON vec_id = many.u LEFT JOIN low ON vec_id = low.u""",
     "op8_exact_dedup": r"""
         WITH d AS (
           SELECT doc_id, coalesce(text, '') AS t,

@@ -2,10 +2,11 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import duckdb
 import numpy as np
 import pytest
 
-from quarrystone.llm import embedding_dedup, ngram_join
+from quarrystone.llm import embedding_dedup, ngram_join, queries
 from quarrystone.llm.common import connected_components
 
 
@@ -126,6 +127,18 @@ def test_sketches_never_rule_out_a_link():
             assert len({rough[b] for b in np.flatnonzero(exact == exact[a])}) == 1
 
 
+@pytest.mark.parametrize("name", ["op1_ngram_join", "op9_embedding_dedup"])
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_queries_match_their_sql_over_whole_tables(spark, name, sf):
+    con = duckdb.connect()
+    for table in ("documents", "embeddings"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM read_parquet('/root/testdata/{sf}/{table}.parquet')")
+    cursor = con.execute(queries.ORACLE_SQL[name])
+    columns = [c[0] for c in cursor.description]
+    got = queries.QUERIES[name](spark, f"/root/testdata/{sf}").select(*columns).collect()
+    assert sorted(map(tuple, got)) == sorted(cursor.fetchall())
+
+
 def cosines(rows, least=0.95):
     good = [(k, np.array(v, float)) for k, (_, v) in enumerate(rows) if v is not None and len(v) and all(
         c is not None and np.isfinite(c) for c in v) and any(v)]
