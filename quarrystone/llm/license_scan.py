@@ -1,7 +1,8 @@
 """License scans by diagonal voting (DataFrame functions only).
 
 All rolling word pairs of a text are hashed and joined to the places of the
-same pairs in the templates.  A hit at word p of the text and q of a template
+same pairs in the templates, by the hash and then by the words themselves, so
+that no hit rests on a hash.  A hit at word p of the text and q of a template
 votes for the diagonal p - q.  Full diagonals of the short base phrases are
 exact occurrences; neighbouring diagonals of a longer template are merged, so
 that inserted or lost words do not break a notice, and the merged span is
@@ -40,13 +41,13 @@ SENTINEL = 0
 
 def _templates(spark) -> DataFrame:
     """A row for each template place; a fixed, small table.  Template -1 marks a text's end."""
-    rows = [(-1, "", True, 0, "", "", 0)]
+    rows = [(-1, "", True, 0, "", "", 0)]  # no word is empty
     for t, (text, label) in enumerate([*BASE, *NOTICES]):
         words = text.split()
         rows += [(t, label, t < len(BASE), q, words[q], words[q + 1], len(words))
                  for q in range(len(words) - 1)]
     made = spark.createDataFrame(rows, "tmpl int, label string, base boolean, q int, a string, b string, m int")
-    return made.select("tmpl", "label", "base", "q", "m",
+    return made.select("tmpl", "label", "base", "q", "m", "a", "b",
                        F.when(F.col("tmpl") < 0, F.lit(SENTINEL).cast("long"))
                        .otherwise(F.xxhash64("a", "b")).alias("h"))
 
@@ -73,10 +74,11 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     words = docs.select(F.monotonically_increasing_id().alias("rk"), F.col(id_col).alias("doc_id"),
                         words_of(F.col(text_col)).alias("w"))
-    # Only id and key pass the generator: a text must not be copied for each word.
-    grams = words.select("rk", "doc_id", F.posexplode(F.expr(
-        "concat(transform(w, (x, i) -> xxhash64(x, get(w, i + 1))), array(0L))")).alias("p", "h"))
-    hits = grams.join(F.broadcast(_templates(docs.sparkSession)), "h").select(
+    # Only id, key and two words pass the generator: a text must not be copied for each word.
+    grams = words.select("rk", "doc_id", F.posexplode(F.expr(f"""concat(
+        transform(w, (x, i) -> struct(xxhash64(x, get(w, i + 1)) AS h, x AS a, coalesce(get(w, i + 1), '') AS b)),
+        array(struct({SENTINEL}L AS h, '' AS a, '' AS b)))""")).alias("p", "g")).select("rk", "doc_id", "p", "g.*")
+    hits = grams.join(F.broadcast(_templates(docs.sparkSession)), ["h", "a", "b"]).select(
         "rk", "doc_id", "p", "tmpl", "label", "base", "q", "m")
     key = ["rk", "doc_id"]
     diagonals = hits.repartition("rk").groupBy(
