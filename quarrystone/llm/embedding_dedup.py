@@ -1,26 +1,28 @@
 """Near-duplicate embeddings by int8 tile products with rigorous error bounds.
 
-Equal vectors become one class.  Classes are quantised to int8, dealt to cells
-around a bounded number of pivots and cut into blocks; every two groups of
-blocks form a tile.  In a tile, blocks whose balls are too far apart are left
-out, the others are multiplied as integers, and the quantisation errors of both
-vectors bound how far the product can be from the cosine.  Only pairs that may
-reach the threshold are computed again in double precision.  A tile returns
-counts and a spanning forest of its links, never its pairs.
+Equal vectors become one class.  Classes are dealt to cells around pivots and
+cut into blocks.  Centres and radii alone decide which blocks may hold a link;
+only those meet, two blocks a tile.  In a tile, vectors are quantised to int8
+and multiplied as integers, and the quantisation errors of both vectors bound
+how far the product can be from the cosine.  Only pairs that may reach the
+threshold are computed again in double precision.  A task returns counts and a
+spanning forest of its links, never its pairs.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarrystone.llm.common import connected_components, materialise
 
-PIVOTS = 64
+PIVOTS, MOST_PIVOTS = 64, 4096
 BLOCK = 1024
-GROUP = 8  # blocks in one side of a tile
+HEADS = 1024  # blocks whose centres are compared with each other in one task
+PARTNERS = 64  # blocks that one task multiplies with its leading block
 RECOMPUTE = 100_000  # pairs computed again at once
 SLACK = 1e-6
 
@@ -91,13 +93,11 @@ class Forest:
             self.joined.append((x, y))
 
 
-def unpack(row) -> dict:
-    n, d = row.n, row.d
-    x = np.frombuffer(row.x, np.float64).reshape(n, d)
-    return {"id": np.frombuffer(row.ids, np.int64), "many": np.frombuffer(row.many, np.int64), "x": x,
-            "q": np.frombuffer(row.q, np.int8).reshape(n, d), "scale": np.frombuffer(row.scale, np.float64),
-            "lost": np.frombuffer(row.lost, np.float64), "norm": np.linalg.norm(x, axis=1),
-            "centre": np.frombuffer(row.centre, np.float64), "radius": row.radius, "block": row.block}
+def unpack(block: int, d: int, wide: bool, ids: bytes, many: bytes, x: bytes, centre: bytes, radius: float) -> dict:
+    x = np.frombuffer(x, np.float64 if wide else np.float32).reshape(-1, d).astype(np.float64)
+    q, scale, lost = quantise(x)
+    return {"block": block, "id": np.frombuffer(ids, np.int64), "many": np.frombuffer(many, np.int64), "x": x, "q": q, "scale": scale,
+            "lost": lost, "norm": np.linalg.norm(x, axis=1), "centre": np.frombuffer(centre, np.float64), "radius": radius}
 
 
 def valid(embedding):
@@ -137,10 +137,20 @@ def near_duplicates(vectors: DataFrame, least: float = 0.95, id_col: str = "vec_
     return linked.unionByName(alone).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
 
 
-def tile_links(classes: DataFrame, least: float) -> DataFrame:
-    """``u, v, links``: either a link (u, v) of a spanning forest, or the links that u has in a tile."""
-    spark = classes.sparkSession
-    sample = classes.orderBy(F.xxhash64("x")).limit(PIVOTS).select("x").toPandas()  # a fixed number of rows
+BLOCKS = "block long, d long, wide boolean, ids binary, many binary, x binary, centre binary, radius double"
+FOUND = "u long, v long, links long"
+
+
+def cut_blocks(classes: DataFrame) -> DataFrame:
+    """Written blocks of at most ``BLOCK`` vectors of one cell, with their balls.
+
+    Vectors go to the nearest of some pivots, which grow with the vectors up to
+    ``MOST_PIVOTS``; large cells are cut by a hash.  Components move in four
+    bytes where that loses nothing.
+    """
+    n = classes.count()
+    wanted = min(max(PIVOTS, -(-n // (2 * BLOCK))), MOST_PIVOTS)
+    sample = classes.orderBy(F.xxhash64("x")).limit(wanted).select("x").toPandas()  # a bounded number of rows
     pivots: dict[int, np.ndarray] = {}
     for v in map(np.array, sample["x"]):
         pivots.setdefault(len(v), []).append(v / np.linalg.norm(v))
@@ -152,8 +162,8 @@ def tile_links(classes: DataFrame, least: float) -> DataFrame:
             yield f.assign(d=f["x"].map(len), cell=cell)
 
     celled = materialise(classes.mapInPandas(assign, "x array<double>, id long, many long, d int, cell int"), "cells")
-    sizes = celled.groupBy("d", "cell").agg(F.count(F.lit(1)).alias("n"))  # at most PIVOTS rows a dimension
-    salted = celled.join(F.broadcast(sizes), ["d", "cell"]).withColumn(
+    sizes = celled.groupBy("d", "cell").agg(F.count(F.lit(1)).alias("n"))
+    salted = celled.join(sizes, ["d", "cell"]).withColumn(
         "salt", F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / (BLOCK * 3 // 4))))
 
     def block(f: pd.DataFrame) -> pd.DataFrame:
@@ -162,48 +172,90 @@ def tile_links(classes: DataFrame, least: float) -> DataFrame:
         for lo in range(0, len(f), BLOCK):
             part = f.iloc[lo:lo + BLOCK]
             x = np.stack(part["x"].to_numpy()).astype(np.float64)
-            q, scale, lost = quantise(x)
             unit = x / np.linalg.norm(x, axis=1, keepdims=True)
             centre = unit.mean(axis=0)
             length = np.linalg.norm(centre)
             centre = centre / length if length > 1e-9 else unit[0]
             radius = float(np.arccos(np.clip(unit @ centre, -1, 1)).max())
-            out.append((len(part), x.shape[1], part["id"].to_numpy(np.int64).tobytes(),
-                        part["many"].to_numpy(np.int64).tobytes(), x.tobytes(), q.tobytes(), scale.tobytes(),
-                        lost.tobytes(), centre.tobytes(), radius))
-        return pd.DataFrame(out, columns=["n", "d", "ids", "many", "x", "q", "scale", "lost", "centre", "radius"])
-
-    blocks = materialise(salted.groupBy("d", "cell", "salt").applyInPandas(
-        block, "n long, d long, ids binary, many binary, x binary, q binary, scale binary, lost binary, "
-               "centre binary, radius double").withColumn("block", F.monotonically_increasing_id()), "blocks")
-    # Every block goes to the tiles of its group with each group of its dimension.
-    per_d = {r["d"]: r["count"] for r in blocks.groupBy("d").count().collect()}
-    groups = {d: max(1, -(-n // GROUP)) for d, n in per_d.items()}
-    if not groups:
-        return spark.createDataFrame([], "u long, v long, links long")
-    number = F.create_map(*[F.lit(v) for kv in groups.items() for v in kv])
-    own = F.pmod(F.xxhash64("block"), F.col("groups")).cast("int")
-    tiled = blocks.withColumn("groups", number[F.col("d")]).withColumn("g", own).withColumn(
-        "other", F.explode(F.sequence(F.lit(0), F.col("groups") - 1))).withColumn(
-        "lo", F.least("g", "other")).withColumn("hi", F.greatest("g", "other"))
-
-    def tile(f: pd.DataFrame) -> pd.DataFrame:
-        held = [(unpack(r), r.g) for r in f.itertuples()]
-        lo, hi = int(f["lo"].iloc[0]), int(f["hi"].iloc[0])
-        forest, links_of = Forest(), {}
-        for p, (a, ga) in enumerate(held):
-            for b, gb in held[p:]:
-                if lo != hi and ga == gb:
-                    continue  # pairs inside a group belong to the group's own tile
-                for i, j in links(a, b, least, a["block"] == b["block"]):
-                    for mine, other, other_many in ((a["id"][i], b["id"][j], b["many"][j]),
-                                                    (b["id"][j], a["id"][i], a["many"][i])):
+            with np.errstate(over="ignore"):
+                narrow = x.astype(np.float32)
+            wide = bool((narrow != x).any())
+            out.append((x.shape[1], wide, part["id"].to_numpy(np.int64).tobytes(), part["many"].to_numpy(np.int64).tobytes(),
+                        (x if wide else narrow).tobytes(), centre.tobytes(), radius))
+        return pd.DataFrame(out, columns=["d", "wide", "ids", "many", "x", "centre", "radius"])
+
+    blocks = salted.groupBy("d", "cell", "salt").applyInPandas(block, BLOCKS.partition(", ")[2])
+    return materialise(blocks.select(F.monotonically_increasing_id().alias("block"), "*"), "blocks")
+
+
+def near_blocks(blocks: DataFrame, least: float) -> DataFrame:
+    """``a, b``: pairs of blocks, and blocks with themselves, whose balls are near enough to hold a link.
+
+    Only centres and radii move: one row in place of a thousand vectors.
+    """
+    heads = blocks.select("block", "d", "centre", "radius")
+    groups = heads.groupBy("d").agg(F.ceil(F.count(F.lit(1)) / HEADS).cast("int").alias("groups"))
+    tiled = heads.join(groups, "d").withColumn("g", F.pmod(F.xxhash64("block"), "groups").cast("int")).withColumn(
+        "o", F.explode(F.sequence(F.lit(0), F.col("groups") - 1))).withColumn("lo", F.least("g", "o")).withColumn(
+        "hi", F.greatest("g", "o")).select("d", "lo", "hi", "g", "block", "centre", "radius")
+
+    def plan(f: pd.DataFrame) -> pd.DataFrame:
+        f = f.sort_values("block")
+        ids, g, radius = (f[c].to_numpy() for c in ("block", "g", "radius"))
+        centre = np.stack([np.frombuffer(c, np.float64) for c in f["centre"]])
+        one = f["lo"].iloc[0] == f["hi"].iloc[0]
+        out = []
+        for i in range(len(f)):
+            gap = np.arccos(np.clip(centre[i:] @ centre[i], -1, 1)) - radius[i:] - radius[i]
+            # pairs inside a group belong to the group's own tile
+            near = i + np.flatnonzero((gap <= np.arccos(least) + SLACK) & (one | (g[i:] != g[i])))
+            if one:
+                near = np.union1d(near, [i])
+            out.append(np.stack([np.full(len(near), ids[i]), ids[near]], axis=1))
+        return pd.DataFrame(np.concatenate(out), columns=["a", "b"])
+
+    return tiled.groupBy("d", "lo", "hi").applyInPandas(plan, "a long, b long")
+
+
+def tile_links(classes: DataFrame, least: float) -> DataFrame:
+    """``u, v, links``: either a link (u, v) of a spanning forest, or the links that u has with some blocks."""
+    blocks = cut_blocks(classes)
+    flip = F.pmod(F.xxhash64("a", "b"), F.lit(2)) == 0  # either block may lead, so that no block leads all its pairs
+    pairs = materialise(near_blocks(blocks, least).select(
+        F.when(flip, F.col("a")).otherwise(F.col("b")).alias("lead"), F.when(flip, F.col("b")).otherwise(F.col("a")).alias("block")),
+        "block_pairs")
+    many = pairs.groupBy("lead").agg(F.ceil(F.count(F.lit(1)) / PARTNERS).alias("parts"))
+    asked = pairs.join(many, "lead").select("lead", F.pmod(F.xxhash64("block"), "parts").alias("part"), "block", F.lit(1).alias("turn"))
+    asked = asked.unionByName(asked.select("lead", "part", F.col("lead").alias("block"), F.lit(0).alias("turn")).distinct())
+
+    def meet(batches):
+        """A leading block comes first in its task and is held; its partners pass by one after another."""
+        key, first, forest, counts = None, None, Forest(), {}
+
+        def done():
+            rows = [(u, v, None) for u, v in forest.joined] + [(u, None, n) for u, n in counts.items()]
+            u, v, n = zip(*rows) if rows else ((), (), ())
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (u, v, n)], names=["u", "v", "links"])
+
+        for batch in batches:
+            for row in zip(*(batch.column(c) for c in range(batch.num_columns))):
+                lead, part, turn, *rest = (c.as_py() for c in row)
+                held = unpack(*rest)
+                if (lead, part) != key:
+                    yield done()
+                    key, forest, counts = (lead, part), Forest(), {}
+                if turn == 0:
+                    first = held
+                    continue
+                for i, j in links(first, held, least, first["block"] == held["block"]):
+                    for mine, other in ((first["id"][i], held["many"][j]), (held["id"][j], first["many"][i])):
                         keys, inverse = np.unique(mine, return_inverse=True)
-                        for k, n in zip(keys.tolist(), np.bincount(inverse, other_many).tolist()):
-                            links_of[k] = links_of.get(k, 0) + int(n)
-                    for u, v in zip(a["id"][i].tolist(), b["id"][j].tolist()):
+                        for k, n in zip(keys.tolist(), np.bincount(inverse, other).tolist()):
+                            counts[k] = counts.get(k, 0) + int(n)
+                    for u, v in zip(first["id"][i].tolist(), held["id"][j].tolist()):
                         forest.add(u, v)
-        out = [(u, v, None) for u, v in forest.joined] + [(u, None, n) for u, n in links_of.items()]
-        return pd.DataFrame(out, columns=["u", "v", "links"]).astype({"u": "Int64", "v": "Int64", "links": "Int64"})
+        yield done()
 
-    return materialise(tiled.groupBy("d", "lo", "hi").applyInPandas(tile, "u long, v long, links long"), "tiles")
+    shipped = asked.join(blocks, "block").repartition("lead", "part").sortWithinPartitions("lead", "part", "turn").select(
+        "lead", "part", "turn", *(c.split()[0] for c in BLOCKS.split(", ")))
+    return materialise(shipped.mapInArrow(meet, FOUND), "tiles")
