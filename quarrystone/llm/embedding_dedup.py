@@ -2,7 +2,8 @@
 
 Equal vectors become one class.  Classes are dealt to cells around pivots and
 cut into blocks.  Centres and radii alone decide which blocks may hold a link;
-only those meet, two blocks a tile.  In a tile, vectors are quantised to int8
+only those meet; a task holds a few blocks of one region, and others pass by.
+In each tile of two blocks, vectors are quantised to int8
 and multiplied as integers, and the quantisation errors of both vectors bound
 how far the product can be from the cosine.  Only pairs that may reach the
 threshold are computed again in double precision.  A task returns counts and a
@@ -22,7 +23,8 @@ from quarrystone.llm.common import connected_components, materialise
 PIVOTS, MOST_PIVOTS = 64, 4096
 BLOCK = 1024
 HEADS = 1024  # blocks whose centres are compared with each other in one task
-PARTNERS = 64  # blocks that one task multiplies with its leading block
+TEAM = 8  # blocks that a task holds; a power of two
+PARTNERS = 64  # blocks that pass by them in one task
 RECOMPUTE = 100_000  # pairs computed again at once
 SLACK = 1e-6
 
@@ -184,7 +186,8 @@ def cut_blocks(classes: DataFrame) -> DataFrame:
                         (x if wide else narrow).tobytes(), centre.tobytes(), radius))
         return pd.DataFrame(out, columns=["d", "wide", "ids", "many", "x", "centre", "radius"])
 
-    blocks = salted.groupBy("d", "cell", "salt").applyInPandas(block, BLOCKS.partition(", ")[2])
+    # by ranges of the cell: blocks with neighbouring numbers are near each other
+    blocks = salted.repartitionByRange("d", "cell", "salt").groupBy("d", "cell", "salt").applyInPandas(block, BLOCKS.partition(", ")[2])
     return materialise(blocks.select(F.monotonically_increasing_id().alias("block"), "*"), "blocks")
 
 
@@ -220,17 +223,21 @@ def near_blocks(blocks: DataFrame, least: float) -> DataFrame:
 def tile_links(classes: DataFrame, least: float) -> DataFrame:
     """``u, v, links``: either a link (u, v) of a spanning forest, or the links that u has with some blocks."""
     blocks = cut_blocks(classes)
-    flip = F.pmod(F.xxhash64("a", "b"), F.lit(2)) == 0  # either block may lead, so that no block leads all its pairs
-    pairs = materialise(near_blocks(blocks, least).select(
-        F.when(flip, F.col("a")).otherwise(F.col("b")).alias("lead"), F.when(flip, F.col("b")).otherwise(F.col("a")).alias("block")),
-        "block_pairs")
-    many = pairs.groupBy("lead").agg(F.ceil(F.count(F.lit(1)) / PARTNERS).alias("parts"))
-    asked = pairs.join(many, "lead").select("lead", F.pmod(F.xxhash64("block"), "parts").alias("part"), "block", F.lit(1).alias("turn"))
-    asked = asked.unionByName(asked.select("lead", "part", F.col("lead").alias("block"), F.lit(0).alias("turn")).distinct())
+    team = lambda c: F.floor(F.col(c) / TEAM)
+    low, high = F.least(team("a"), team("b")), F.greatest(team("a"), team("b"))
+    # either of two teams may lead, so that no team leads all its pairs
+    leads = F.when(F.pmod(F.xxhash64(low, high), F.lit(2)) == 0, low).otherwise(high)
+    pairs = near_blocks(blocks, least).select(leads.alias("team"), F.when(team("a") == leads, F.col("a")).otherwise(F.col("b")).alias("lead"),
+                                              F.when(team("a") == leads, F.col("b")).otherwise(F.col("a")).alias("block"))
+    mates = materialise(pairs.groupBy("team", "block").agg(F.collect_list("lead").alias("mates")), "block_pairs")
+    many = mates.groupBy("team").agg(F.ceil(F.count(F.lit(1)) / PARTNERS).alias("parts"))
+    asked = mates.join(many, "team").select("team", F.pmod(F.xxhash64("block"), "parts").alias("part"), "block", F.lit(1).alias("turn"), "mates")
+    asked = asked.unionByName(asked.select("team", "part", F.explode("mates").alias("block")).distinct().select(
+        "*", F.lit(0).alias("turn"), F.array().cast("array<bigint>").alias("mates")))
 
     def meet(batches):
-        """A leading block comes first in its task and is held; its partners pass by one after another."""
-        key, first, forest, counts = None, None, Forest(), {}
+        """A team's blocks come first in their task and are held; their partners pass by one after another."""
+        key, team, forest, counts = None, {}, Forest(), {}
 
         def done():
             rows = [(u, v, None) for u, v in forest.joined] + [(u, None, n) for u, n in counts.items()]
@@ -239,23 +246,23 @@ def tile_links(classes: DataFrame, least: float) -> DataFrame:
 
         for batch in batches:
             for row in zip(*(batch.column(c) for c in range(batch.num_columns))):
-                lead, part, turn, *rest = (c.as_py() for c in row)
+                number, part, turn, mates, *rest = (c.as_py() for c in row)
                 held = unpack(*rest)
-                if (lead, part) != key:
+                if (number, part) != key:
                     yield done()
-                    key, forest, counts = (lead, part), Forest(), {}
+                    key, team, forest, counts = (number, part), {}, Forest(), {}
                 if turn == 0:
-                    first = held
-                    continue
-                for i, j in links(first, held, least, first["block"] == held["block"]):
-                    for mine, other in ((first["id"][i], held["many"][j]), (held["id"][j], first["many"][i])):
-                        keys, inverse = np.unique(mine, return_inverse=True)
-                        for k, n in zip(keys.tolist(), np.bincount(inverse, other).tolist()):
-                            counts[k] = counts.get(k, 0) + int(n)
-                    for u, v in zip(first["id"][i].tolist(), held["id"][j].tolist()):
-                        forest.add(u, v)
+                    team[held["block"]] = held
+                for first in map(team.__getitem__, mates):
+                    for i, j in links(first, held, least, first["block"] == held["block"]):
+                        for mine, other in ((first["id"][i], held["many"][j]), (held["id"][j], first["many"][i])):
+                            keys, inverse = np.unique(mine, return_inverse=True)
+                            for k, n in zip(keys.tolist(), np.bincount(inverse, other).tolist()):
+                                counts[k] = counts.get(k, 0) + int(n)
+                        for u, v in zip(first["id"][i].tolist(), held["id"][j].tolist()):
+                            forest.add(u, v)
         yield done()
 
-    shipped = asked.join(blocks, "block").repartition("lead", "part").sortWithinPartitions("lead", "part", "turn").select(
-        "lead", "part", "turn", *(c.split()[0] for c in BLOCKS.split(", ")))
+    shipped = asked.join(blocks, "block").repartition("team", "part").sortWithinPartitions("team", "part", "turn").select(
+        "team", "part", "turn", "mates", *(c.split()[0] for c in BLOCKS.split(", ")))
     return materialise(shipped.mapInArrow(meet, FOUND), "tiles")
