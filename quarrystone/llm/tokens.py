@@ -66,7 +66,7 @@ def _keys(data: np.ndarray, low: np.ndarray, size: np.ndarray) -> np.ndarray:
 class PieceTokenizer:
     """Ids for batches of texts.  ``most`` bounds the stretches that are remembered and their ids."""
 
-    def __init__(self, path: str, most: int = 1_000_000, end_id: int = 0):
+    def __init__(self, path: str, most: int = 300_000, end_id: int = 0):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a worker has one core
         from tokenizers import Tokenizer
 
@@ -270,7 +270,7 @@ def slices(offsets: np.ndarray, most: int):
         lo = hi
 
 
-def encoded(batches, path: str, most: int = 4 << 20):
+def encoded(batches, path: str, most: int = 2 << 20):
     """For Arrow batches of (doc_id, text): doc ids, ids in a row and their offsets, in small parts."""
     tok = tokenizer(path)
     for batch in batches:
