@@ -12,8 +12,11 @@ goes on, so the ids are always those of the whole text.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import re
+import sys
 from itertools import chain
 
 import numpy as np
@@ -239,10 +242,21 @@ _TOKENIZERS: dict[str, PieceTokenizer] = {}
 def tokenizer(path: str) -> PieceTokenizer:
     """The worker's tokenizer for a file; it and its cache last as long as the worker."""
     if path not in _TOKENIZERS:
+        give_back()
         _TOKENIZERS[path] = PieceTokenizer(path)
     return _TOKENIZERS[path]
 
 
+def give_back() -> None:
+    """Return to the system what this worker's earlier tasks have freed."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # other C libraries have none
+        if trim is not None:
+            trim(0)
+
+
 def forget() -> None:
     """Free the worker's tokenizers and their caches."""
     _TOKENIZERS.clear()
