@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import tempfile
 import uuid
@@ -73,6 +74,16 @@ def materialise(df: DataFrame, name: str, partition_hint: int | None = None) ->
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_shuffles(spark: SparkSession) -> None:
+    """Let Spark delete shuffle files that no plan needs any more.
+
+    Its cleaner learns of them only when the driver collects its garbage,
+    which a driver that does little else may put off until the disks are full.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """``(node, component)`` for undirected ``edges(u, v)``; component = smallest node.
 

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarrystone.llm import tokens
-from quarrystone.llm.common import connected_components, materialise
+from quarrystone.llm.common import connected_components, drop_shuffles, materialise
 from quarrystone.llm.tokens import slices, utf8
 
 BLOCK_SETS = 512
@@ -214,9 +214,9 @@ def set_ids(shingles: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def sketches(shingles: np.ndarray, at: np.ndarray) -> list[bytes]:
-    """Counts of shingles by hash class, a byte each; about six shingles a class."""
+    """Counts of shingles by hash class, a byte each; two to four shingles a class, so that unrelated sets differ in most."""
     sizes = np.diff(at)
-    classes = 1 << np.maximum(4, np.floor(np.log2(np.maximum(sizes, 1) / 6 + 1e-9)).astype(np.int64))
+    classes = 1 << np.maximum(5, np.floor(np.log2(np.maximum(sizes, 1) / 2 + 1e-9)).astype(np.int64))
     base = np.concatenate([[0], np.cumsum(classes)])
     value = mix(shingles ^ _U(0x3C6EF372FE94F82B)).astype(np.int64)
     cell = np.repeat(base[:-1], sizes) + (value & np.repeat(classes - 1, sizes))
@@ -241,21 +241,32 @@ def folded(held: list[bytes], width: int) -> np.ndarray:
     return np.stack([np.frombuffer(h, np.uint8).reshape(-1, width).sum(axis=0, dtype=np.int32) for h in held])
 
 
+def _equal_runs(values: np.ndarray) -> tuple[list[int], list[int]]:
+    """Where runs of equal values begin and end."""
+    edges = np.flatnonzero(np.diff(values)) + 1
+    return [0, *edges.tolist()], [*edges.tolist(), len(values)]
+
+
 def possible_parts(sizes: np.ndarray, held: list[bytes], classes: np.ndarray, part: int, whole: int) -> np.ndarray:
     """Components of the pairs of different classes that their sketches do not rule out.
 
     Linked sets differ in at most (whole - part) / (whole + part) of their sizes' sum.
+    Each pair is compared in the width of its smaller set: a small set must not
+    blur the larger ones of its gathering, which then would all seem near.
     """
     m = len(held)
     order = np.argsort(sizes, kind="stable")
-    grid, sizes, classes = folded(held, min(map(len, held)))[order], sizes[order], classes[order]
+    held, sizes, classes = [held[k] for k in order], sizes[order], classes[order]
     last = np.searchsorted(sizes * part, sizes * whole, side="right")
+    widths = np.minimum.accumulate(np.array([len(h) for h in held])[::-1])[::-1]
     near = np.eye(m, dtype=bool)
-    for i in range(m - 1):
-        j = slice(i + 1, int(last[i]))
-        if j.start < j.stop:
-            apart = np.abs(grid[j] - grid[i]).sum(axis=1)
-            near[i, j] = (apart * (whole + part) <= (sizes[i] + sizes[j]) * (whole - part)) & (classes[j] != classes[i])
+    for lo, hi in zip(*_equal_runs(widths)):
+        grid = folded(held[lo:int(last[hi - 1])], int(widths[lo]))
+        for i in range(lo, hi):
+            j = slice(i + 1, int(last[i]))
+            if j.start < j.stop:
+                apart = np.abs(grid[j.start - lo:j.stop - lo] - grid[i - lo]).sum(axis=1)
+                near[i, j] = (apart * (whole + part) <= (sizes[i] + sizes[j]) * (whole - part)) & (classes[j] != classes[i])
     label = propagate(near | near.T)
     out = np.empty(m, np.int64)
     out[order] = order[label]
@@ -474,14 +485,17 @@ def jaccard_components(docs: DataFrame, width: int = 5, part: int = 80, whole: i
     star = met.join(names, met["doc_id"] == names["id"]).select("hub", F.col("rep").alias("a"), "n")
     star = star.join(names, star["hub"] == names["id"]).select(F.col("rep").alias("hub"), "a", "n").where("hub <> a")
     star = materialise(star.groupBy("hub", "a").agg(F.sum("n").alias("n")), "star")
+    drop_shuffles(star.sparkSession)  # of all signatures
     own = materialise(usable.join(member.where("doc_id = rep").select("doc_id"), "doc_id", "left_semi").select(
         F.col("doc_id").alias("a"), "n_shingles", "sketch"), "own")
     # an id with several sets joins their classes
     twice = member.groupBy("doc_id").agg(F.min("rep").alias("v"), F.max("rep").alias("w")).where("v <> w")
     several = materialise(member.join(twice, "doc_id").select(F.col("rep").alias("u"), "v"), "several")
     first = materialise(_best_links(rows, star, own, width, part, whole).unionByName(several), "links")
+    drop_shuffles(first.sparkSession)  # of texts and sets
     found = connected_components(first)
     rest = _links_between(rows, star, own, found, width, part, whole)
+    drop_shuffles(rest.sparkSession)
     if not rest.isEmpty():
         found = connected_components(first.unionByName(rest))
     parts = member.join(found, member["rep"] == found["node"], "left").groupBy("doc_id").agg(

@@ -111,6 +111,17 @@ def test_linked_sets_always_share_a_signature(part):
     assert linked > 100
 
 
+def test_a_small_set_does_not_chain_larger_unrelated_ones():
+    """One gathering of many sizes: only what may link stays together, or whole gatherings would move and move again."""
+    rng = np.random.default_rng(3)
+    sets = [np.sort(rng.integers(0, 2 ** 63, n).astype(np.uint64)) for n in [20, *range(91, 700, 3)]]
+    sets.append(np.sort(np.concatenate([sets[-1][:-30], rng.integers(0, 2 ** 63, 30).astype(np.uint64)])))
+    at = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
+    held = ngram_join.sketches(np.concatenate(sets), at)
+    label = ngram_join.possible_parts(np.diff(at), held, np.arange(len(held)), 80, 100)
+    assert label[-1] == label[-2] and len(set(label.tolist())) == len(sets) - 1
+
+
 def test_sketches_never_rule_out_a_link():
     rng = np.random.default_rng(4)
     for n in (12, 60, 400, 3000):
