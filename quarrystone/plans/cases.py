@@ -115,7 +115,8 @@ def parse_documents(docs: DataFrame, text: str = "text") -> DataFrame:
             out[n] = out[n].map(lambda v, keys=keys: [dict(zip(keys, x)) for x in v])
         return out
 
-    df = docs.withColumn("_p", parse(text)).select(*docs.columns, "_p.*")
+    # as if not deterministic: a filter on a field that moves below the parsing would parse every text once more
+    df = docs.withColumn("_p", parse.asNondeterministic()(text)).select(*docs.columns, "_p.*")
     lacks = [F.when(F.size(n) == 0 if n in ("products", "reactions") else F.col(n).isNull(), F.lit(n)) for n in REQUIRED]
     return df.withColumn("missing_fields", F.filter(F.array(*lacks), lambda x: x.isNotNull()))
 
@@ -176,8 +177,8 @@ def document_links(cases: DataFrame) -> DataFrame:
 
 
 def case_products(versions: DataFrame) -> DataFrame:
-    return versions.select("case_version_id", "case_reference", F.explode("products").alias("p")).select(
-        "case_version_id", "case_reference", "p.*")
+    return versions.select("case_version_id", "case_reference", "document_id", F.explode("products").alias("p")).select(
+        "case_version_id", "case_reference", "document_id", "p.*")
 
 
 def case_reactions(versions: DataFrame) -> DataFrame:

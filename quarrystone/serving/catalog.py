@@ -1206,8 +1206,7 @@ def document_links(spark, sf):
   CASE form WHEN 'cioms' THEN 'Dose' ELSE 'salt' END AS active_ingredient FROM v WHERE version_number IS NOT NULL""")
 def case_child_rows(spark, sf):
     versions = cases.case_versions(cases.case_documents(_case_docs(spark, sf)))
-    ids = versions.select("case_version_id", "document_id")
-    return cases.case_products(versions).join(ids, "case_version_id").select("case_reference", "document_id", "reported_product", "active_ingredient")
+    return cases.case_products(versions).select("case_reference", "document_id", "reported_product", "active_ingredient")
 
 
 @query(CASES + """SELECT ref AS case_reference, min(CASE WHEN version_number = 1 THEN day END) AS first_report_date, arg_max(day, version_number) AS latest_report_date,

@@ -1,6 +1,7 @@
 from datetime import datetime
 
 from quarrystone.plans import cases, inventory, shipments, workforce
+from quarrystone.serving import catalog
 
 EVENTS = "trans_id string, store_id int, date_time string, change_type_id int, items array<struct<item_id:int,quantity:int>>, bopis_order_id string"
 SNAPS = "id int, item_id int, employee_id int, store_id int, date_time string, quantity int"
@@ -86,6 +87,11 @@ def test_cells_equal_to_headers_survive():
     assert cases.parse_text(None)["document_format"] == "unknown"
 
 
+def test_case_child_rows_parse_once_and_join_nothing(spark):
+    plan = catalog.case_child_rows(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and "Join" not in plan
+
+
 def test_case_assembly(spark):
     rows = [("D1", CIOMS), ("D2", CIOMS), ("D3", FOLLOW), ("D4", FOLLOW.replace("C1", "C2")), ("D5", ""), ("D6", "a letter"),
             ("D7", CIOMS.replace("Case reference\nC1\n", ""))]
