@@ -12,6 +12,13 @@ The seeds of one passage may first occur in different documents, and then no
 chain holds the whole of it.  Where repeated seeds follow each other so closely
 that a passage of the least length may lie there, and no passage found covers
 it, the hashes of all runs of that length are joined to their first occurrence.
+
+What is then still in no passage may be a passage with changed words.  There the
+seeds meet by twos, as far apart as those of a passage are: a document meets
+every earlier one that has the same two, and every later one where nothing is
+linked yet.  The free seeds that two such documents share are chained and aligned
+as before.  Two seeds are in far fewer documents than one, so a common line of a
+few seeds brings no pairs.
 """
 
 from __future__ import annotations
@@ -21,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarrystone.llm.common import materialise
+from quarrystone.llm.common import drop_shuffles, materialise
 from quarrystone.llm.ngram_join import mix, rolled_hashes, word_hashes
 from quarrystone.llm.tokens import slices, utf8
 
@@ -29,6 +36,9 @@ K, WINDOW = 8, 16
 WEIGHT, GAP_COST = 8.0, 0.125  # a seed's worth, and the cost of a word of either gap
 TOGETHER = 256  # requests that share one copy of a text
 MARGIN = 48  # words beside a chain that the alignment may grow into
+FAR = 128  # words that two seeds may be apart to stand for a passage
+SALTS = 16  # tasks that share the documents with the same two seeds
+CROSSED = 8  # places in one document by those in the other up to which a seed's all meet
 MOST = np.uint64(2 ** 64 - 1)
 
 
@@ -63,6 +73,7 @@ def with_ranks(value: np.ndarray, text: np.ndarray, place: np.ndarray):
 
     All occurrences meet the first one anywhere; by rank, the n-th meets an
     n-th one, so repeated runs inside two texts are chained side by side too.
+    Seeds of a rank are odd, the others even.
     """
     order = np.lexsort((place, value, text))
     v, t = value[order], text[order]
@@ -70,7 +81,7 @@ def with_ranks(value: np.ndarray, text: np.ndarray, place: np.ndarray):
     rank = np.arange(len(v)) - np.maximum.accumulate(np.where(new, np.arange(len(v)), 0))
     more = order[rank > 0]
     again = mix(value[more] + rank[rank > 0].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-    return np.concatenate([value, again]), np.concatenate([text, text[more]]), np.concatenate([place, place[more]])
+    return np.concatenate([value & ~np.uint64(1), again | np.uint64(1)]), np.concatenate([text, text[more]]), np.concatenate([place, place[more]])
 
 
 class Fenwick:
@@ -304,6 +315,69 @@ def open_windows(n: int, seeded: np.ndarray, covered: np.ndarray, width: int) ->
     return places, np.cumsum(hidden)[places] == 0
 
 
+def inside(places: np.ndarray, size: int, spans: list[list[int]]) -> np.ndarray:
+    """Whether ``size`` words from each place on lie in spans that touch."""
+    if not spans:
+        return np.zeros(len(places), bool)
+    low, high = np.array(spans, np.int64).T
+    low, high = runs_of(low, high, 0)
+    at = np.searchsorted(low, places, side="right") - 1
+    return (at >= 0) & (places + size <= high[at])
+
+
+def ends(seed: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Which places are not amid a run that repeats itself: the same seed so far before as after."""
+    order = np.lexsort((place, seed))
+    s, p = seed[order], place[order]
+    amid = np.zeros(len(s), bool)
+    amid[1:-1] = (s[:-2] == s[2:]) & (p[1:-1] - p[:-2] == p[2:] - p[1:-1]) & (p[1:-1] - p[:-2] <= WINDOW)
+    out = np.ones(len(s), bool)
+    out[order[amid]] = False
+    return out
+
+
+def two_seeds(seed: np.ndarray, place: np.ndarray, text: np.ndarray, least: int, marks: np.ndarray):
+    """Hashes of two seeds of a text ``least`` to ``FAR`` words apart, once in a text, with the marks that both have in some place."""
+    found, step = [], 1
+    while step < len(place):
+        gap = place[step:] - place[:-step]
+        near = (text[step:] == text[:-step]) & (gap <= FAR)
+        if not near.any():
+            break
+        at = np.flatnonzero(near & (gap >= least))
+        found.append(once(mix(seed[at] * np.uint64(0x9E3779B97F4A7C15) + seed[at + step]), text[at], marks[at] & marks[at + step]))
+        step += 1
+    return once(*map(np.concatenate, zip(*found))) if found else (seed[:0], text[:0], marks[:0])
+
+
+def once(key: np.ndarray, text: np.ndarray, marks: np.ndarray):
+    """Each key of a text once, with all marks that it has there."""
+    order = np.lexsort((key, text))
+    key, text, marks = key[order], text[order], marks[order]
+    new = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (text[1:] != text[:-1])])) if len(key) else order
+    return key[new], text[new], np.bitwise_or.reduceat(marks, new) if len(new) else marks
+
+
+def shared(seeds: list[int], places: list[int], other: dict[int, list[int]]) -> list[tuple[int, int]]:
+    """Sorted pairs of places of the same seed in two documents.
+
+    Of a seed so often in both that ``CROSSED`` is passed, those of equal rank
+    from either end meet, and all meet the first.
+    """
+    mine: dict[int, list[int]] = {}
+    for x, p in zip(seeds, places):
+        if x in other:
+            mine.setdefault(x, []).append(p)
+    out = set()
+    for x, ps in mine.items():
+        qs = other[x]
+        if len(ps) * len(qs) <= CROSSED:
+            out.update((p, q) for p in ps for q in qs)
+        else:
+            out.update(zip(ps, qs), zip(ps[::-1], qs[::-1]), ((p, qs[0]) for p in ps), ((ps[0], q) for q in qs))
+    return sorted(out)
+
+
 def cover(found: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     """The fewest of (start, end, source start) with the same words in all."""
     out, end, best = [], -1, None
@@ -331,6 +405,8 @@ def repeated_passages(docs: DataFrame, min_words: int = 50, min_identity: float
 
     Exact runs of that length that these leave out, because their seeds begin in
     different documents, follow with the first document that has the whole run.
+    Then come the passages in what is still left that hold two seeds which both
+    documents have, with every earlier document: these differ in words from each other.
 
     Columns: ``doc_id, start_word, end_word, source_doc_id, source_start,
     source_end, matched_words, identity``; ends are exclusive, words are runs
@@ -353,8 +429,12 @@ def repeated_passages(docs: DataFrame, min_words: int = 50, min_identity: float
                      pa.array(np.ones(len(place), bool))], names=["seed", "doc_id", "p", "asks"])
 
     def join(batches):
-        """Sorted seeds as a stream: each occurrence, but in a run that is covered already, meets the first occurrence."""
+        """Sorted seeds as a stream: each occurrence, but in a run that is covered already, meets the first occurrence.
+
+        The first one meets itself once there is another.
+        """
         seed = hub = hub_p = None
+        alone = False  # whether the row before is the first of its seed
         for batch in batches:
             s, d, p, asks = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
             if not len(s):
@@ -365,41 +445,48 @@ def repeated_passages(docs: DataFrame, min_words: int = 50, min_identity: float
             q = np.where(begin >= 0, p[np.maximum(begin, 0)], hub_p or 0).astype(np.int32)
             seed, hub, hub_p = s[-1], int(source[-1]), int(q[-1])
             other = asks & ((source != d) | (q != p))
-            yield pa.RecordBatch.from_arrays([pa.array(x[other]) for x in (d, source, p, q)], names=["doc_id", "source", "p", "q"])
+            second = ~new & np.concatenate([[alone], new[:-1]])
+            alone = bool(new[-1])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.concatenate([x[other], y[second]])) for x, y in ((s, s), (d, source), (source, source), (p, q), (q, q))],
+                names=["seed", "doc_id", "source", "p", "q"])
 
     def met(df):
         return df.repartition("seed").sortWithinPartitions("seed", "doc_id", "p").mapInArrow(
-            join, "doc_id long, source long, p int, q int")
+            join, "seed long, doc_id long, source long, p int, q int")
 
     anchors = met(rows.mapInArrow(seeds, "seed long, doc_id long, p int, asks boolean"))
     reach = min_words - K - 2 * (WINDOW - 1)  # an exact passage that long has seeds at least so far apart
 
     def chain(batches):
         held: list[tuple[int, int]] = []
+        places: list[int] = []
+        values: list[int] = []
         key = None
 
         def finish():
-            # where repeated seeds are, in a row without a source for each of the two documents
-            for who, places in zip(key, zip(*held)):
-                at = np.array(places)
-                lows, highs = runs_of(at, at, WINDOW)
-                yield who, None, lows.tolist(), highs.tolist()
+            # the document's repeated seeds, in a row without a source; late ones are first in another document
+            if places:
+                yield key[0], None, places, None, values, key[0] != key[1]
             if key[0] == key[1]:
                 return
             for c in chains([x for x, _ in held], [y for _, y in held]):
                 p, q = [held[i][0] for i in c], [held[i][1] for i in c]
                 if p[-1] - p[0] >= reach:
-                    yield key[0], key[1], p, q
+                    yield key[0], key[1], p, q, None, None
 
         for batch in batches:
             out = []
-            for d, s, p, q in zip(*(c.to_pylist() for c in batch.columns)):
+            for d, s, p, q, seed in zip(*(c.to_pylist() for c in batch.columns)):
                 if (d, s) != key:
                     if held:
                         out += finish()
-                    held, key = [], (d, s)
+                    held, places, values, key = [], [], [], (d, s)
                 if not held or held[-1] != (p, q):
                     held.append((p, q))
+                if not seed & 1:
+                    places.append(p)
+                    values.append(seed)
             if out:
                 yield _chained(out)
         rest = list(finish()) if held else []
@@ -407,27 +494,29 @@ def repeated_passages(docs: DataFrame, min_words: int = 50, min_identity: float
             yield _chained(rest)
 
     def _chained(out):
-        d, s, p, q = zip(*out)
-        return pa.RecordBatch.from_arrays([pa.array(d, pa.int64()), pa.array(s, pa.int64()), pa.array(p, pa.list_(pa.int32())),
-                                           pa.array(q, pa.list_(pa.int32()))], names=["doc", "source", "ps", "qs"])
-
-    chained = materialise(anchors.repartition("doc_id", "source").sortWithinPartitions("doc_id", "source", "p", "q").mapInArrow(
-        chain, "doc long, source long, ps array<int>, qs array<int>"), "chains")
-
-    found = chained.where("source IS NOT NULL")
-
-    def ask(who: str, side: int, places: str):
-        lo = F.greatest(F.element_at(places, 1) - MARGIN, F.lit(0))
-        return found.select(F.col(who).alias("want"), "doc", "source", F.lit(side).alias("side"), F.element_at("ps", 1).alias("p0"),
-                            F.element_at("qs", 1).alias("q0"), lo.alias("lo"), (F.element_at(places, -1) + K + MARGIN).alias("hi"), places)
-
-    asked = ask("doc", 0, "ps").withColumnRenamed("ps", "places").unionByName(
-        ask("source", 1, "qs").withColumnRenamed("qs", "places")).repartition("want")
-    # a text moves once for every TOGETHER of its requests
-    order = Window.partitionBy("want").orderBy("doc", "source", "p0", "q0", "side")
-    asks = asked.withColumn("group", F.floor((F.row_number().over(order) - 1) / TOGETHER)).groupBy("want", "group").agg(
-        F.collect_list(F.struct("doc", "source", "side", "p0", "q0", "lo", "hi", "places")).alias("asks"))
-    wanted = rows.join(asks.hint("merge"), rows["doc_id"] == asks["want"]).select("text", "asks")
+        kinds = [pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.bool_()]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)],
+                                          names=["doc", "source", "ps", "qs", "seeds", "late"])
+
+    chained = materialise(anchors.repartition("doc_id", "source").sortWithinPartitions("doc_id", "source", "p", "q").select(
+        "doc_id", "source", "p", "q", "seed").mapInArrow(
+        chain, "doc long, source long, ps array<int>, qs array<int>, seeds array<long>, late boolean"), "chains")
+    drop_shuffles(docs.sparkSession)
+
+    def requests(found):
+        def ask(who: str, side: int, places: str):
+            lo = F.greatest(F.element_at(places, 1) - MARGIN, F.lit(0))
+            return found.select(
+                F.col(who).alias("want"), "doc", "source", F.lit(side).alias("side"), F.element_at("ps", 1).alias("p0"),
+                F.element_at("qs", 1).alias("q0"), lo.alias("lo"), (F.element_at(places, -1) + K + MARGIN).alias("hi"),
+                F.col(places).alias("places"))
+
+        asked = ask("doc", 0, "ps").unionByName(ask("source", 1, "qs")).repartition("want")
+        # a text moves once for every TOGETHER of its requests
+        order = Window.partitionBy("want").orderBy("doc", "source", "p0", "q0", "side")
+        asks = asked.withColumn("group", F.floor((F.row_number().over(order) - 1) / TOGETHER)).groupBy("want", "group").agg(
+            F.collect_list(F.struct("doc", "source", "side", "p0", "q0", "lo", "hi", "places")).alias("asks"))
+        return rows.join(asks.hint("merge"), rows["doc_id"] == asks["want"]).select("text", "asks")
 
     def cut(batches):
         """The asked parts of each text as 32-bit word hashes."""
@@ -447,8 +536,6 @@ def repeated_passages(docs: DataFrame, min_words: int = 50, min_identity: float
             if parts:
                 yield from pa.Table.from_batches(parts).combine_chunks().to_batches()
 
-    parts = wanted.mapInArrow(cut, "doc long, source long, side int, p0 int, q0 int, lo int, places array<int>, words binary")
-
     def _passages(out):
         columns = list(zip(*out)) if out else [()] * 8
         kinds = [pa.int64()] * 7 + [pa.float64()]
@@ -475,16 +562,23 @@ def repeated_passages(docs: DataFrame, min_words: int = 50, min_identity: float
                                 matched / max(a1 - a0, b1 - b0)))
             yield _passages(out)
 
-    passages = materialise(parts.repartition("doc", "source").sortWithinPartitions("doc", "source", "p0", "q0", "side").select(
-        "doc", "source", "p0", "q0", "side", "lo", "places", "words").mapInArrow(verify, PASSAGES), "passages")
+    def verified(found):
+        parts = requests(found).mapInArrow(
+            cut, "doc long, source long, side int, p0 int, q0 int, lo int, places array<int>, words binary")
+        return parts.repartition("doc", "source").sortWithinPartitions("doc", "source", "p0", "q0", "side").select(
+            "doc", "source", "p0", "q0", "side", "lo", "places", "words").mapInArrow(verify, PASSAGES)
+
+    passages = materialise(verified(chained.where("source IS NOT NULL")), "passages")
+    drop_shuffles(docs.sparkSession)
 
-    seeded = chained.where("source IS NULL").select("doc", F.explode(F.arrays_zip("ps", "qs")).alias("x")).select(
-        "doc", F.lit(True).alias("seeded"), F.col("x.ps").alias("lo"), F.col("x.qs").alias("hi"))
-    covered = passages.select(F.col("doc_id").alias("doc"), F.lit(False).alias("seeded"),
-                              F.col("start_word").cast("int").alias("lo"), F.col("end_word").cast("int").alias("hi"))
-    spans = seeded.unionByName(covered).distinct().groupBy("doc").agg(
-        F.collect_list(F.when(F.col("seeded"), F.array("lo", "hi"))).alias("seeded"),
-        F.collect_list(F.when(~F.col("seeded"), F.array("lo", "hi"))).alias("covered"))
+    def spans_of(df, doc: str, start: str, end: str):
+        return df.select(F.col(doc).alias("doc"), F.array(F.col(start).cast("int"), F.col(end).cast("int")).alias("ps")).distinct()
+
+    repeated = chained.where("source IS NULL")
+    spans = repeated.select("doc", F.lit(True).alias("seeded"), "ps").unionByName(
+        spans_of(passages, "doc_id", "start_word", "end_word").select("doc", F.lit(False).alias("seeded"), "ps")).groupBy("doc").agg(
+        F.flatten(F.collect_list(F.when(F.col("seeded"), F.col("ps")))).alias("seeded"),
+        F.collect_list(F.when(~F.col("seeded"), F.col("ps"))).alias("covered"))
     spanned = rows.join(spans.hint("merge"), rows["doc_id"] == spans["doc"]).select("doc_id", "text", "seeded", "covered")
 
     def windows(batches):
@@ -493,7 +587,7 @@ def repeated_passages(docs: DataFrame, min_words: int = 50, min_identity: float
             for lo, n, h, first in _words(batch):
                 for k in range(n):
                     mine = h[first[k]:first[k + 1]]
-                    places, asks = open_windows(len(mine), np.array(marked[lo + k], np.int64).reshape(-1, 2),
+                    places, asks = open_windows(len(mine), np.repeat(np.array(marked[lo + k], np.int64), 2).reshape(-1, 2),
                                                 np.array(hidden[lo + k], np.int64).reshape(-1, 2), min_words)
                     if len(places):
                         value = wide_hashes(mine, min_words)[places]
@@ -525,5 +619,121 @@ def repeated_passages(docs: DataFrame, min_words: int = 50, min_identity: float
             yield _passages(list(finish()))
 
     whole = met(spanned.mapInArrow(windows, "seed long, doc_id long, p int, asks boolean")).where("doc_id <> source")
-    return passages.unionByName(whole.repartition("doc_id", "source").sortWithinPartitions(
-        "doc_id", "source", F.col("q") - F.col("p"), "p").mapInArrow(exact, PASSAGES))
+    plain = materialise(passages.unionByName(whole.repartition("doc_id", "source").sortWithinPartitions(
+        "doc_id", "source", F.col("q") - F.col("p"), "p").select("doc_id", "source", "p", "q").mapInArrow(exact, PASSAGES)), "passages")
+    drop_shuffles(docs.sparkSession)
+
+    # seeds outside all passages, as 1: it repeats nothing so far, 2: nor is it repeated
+    def left(batches):
+        key, linked = None, ([], [])
+        for batch in batches:
+            out = []
+            for doc, kind, ps, seeds in zip(*(c.to_pylist() for c in batch.columns)):
+                if doc != key:
+                    key, linked = doc, ([], [])
+                if kind < 2:
+                    linked[kind].append(ps)
+                    continue
+                place, value = np.array(ps, np.int32), np.array(seeds, np.int64)
+                few = ends(value, place)
+                place, value = place[few], value[few]
+                free = ~inside(place, K, linked[0])
+                alone = free & ~inside(place, K, linked[1])
+                asks = alone | (free & (kind == 3))
+                out.append(pa.RecordBatch.from_arrays(
+                    [pa.array(value), pa.array(np.full(len(place), doc)), pa.array(place), pa.array(~asks),
+                     pa.array(free + 2 * alone.astype(np.int32), pa.int32())], names=["seed", "doc", "p", "still", "marks"]))
+            if out:
+                yield from pa.Table.from_batches(out).combine_chunks().to_batches()
+
+    def live(batches):
+        """Of seeds as a stream, in each those first that ask: the seeds that any asks for."""
+        seed, on = None, False
+        for batch in batches:
+            s, still = (batch.column(c).to_numpy(zero_copy_only=False) for c in (0, 3))
+            if not len(s):
+                continue
+            new = np.concatenate([[seed is None or s[0] != seed], s[1:] != s[:-1]])
+            begin = np.maximum.accumulate(np.where(new, np.arange(len(s)), -1))
+            wanted = np.where(begin >= 0, ~still[np.maximum(begin, 0)], on)
+            seed, on = s[-1], bool(wanted[-1])
+            wanted &= ~(new & np.concatenate([new[1:], [False]]))  # in one place only
+            yield batch.filter(pa.array(wanted))
+
+    def sketch(batches):
+        """A document's seeds in one row."""
+        held, key = [], None
+
+        def row():
+            return [key, *map(list, zip(*held))]
+
+        def _rows(out):
+            kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32())]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=["doc", "seeds", "ps", "marks"])
+
+        for batch in batches:
+            out = []
+            for doc, *seed in zip(*(c.to_pylist() for c in batch.columns)):
+                if doc != key:
+                    if len(held) > 1:
+                        out.append(row())
+                    held, key = [], doc
+                held.append(seed)
+            if out:
+                yield _rows(out)
+        if len(held) > 1:
+            yield _rows([row()])
+
+    def keys(batches):
+        for batch in batches:
+            seeds, ps, marks = (batch.column(c).flatten().to_numpy() for c in (1, 2, 3))
+            text = np.repeat(np.arange(len(batch)), batch.column(1).value_lengths().to_numpy())
+            key, text, both = two_seeds(seeds.view(np.uint64), ps, text, max(reach, 1), marks)
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), batch.column(0).take(pa.array(text)), pa.array(both)],
+                                             names=["key", "doc", "marks"])
+
+    def again(batches):
+        """Chains of the seeds of two documents that are in no passage yet."""
+        key, other, unlinked = None, {}, set()
+        for batch in batches:
+            out = []
+            for doc, source, a, p, m, b, q, n in zip(*(c.to_pylist() for c in batch.columns)):
+                if source != key:
+                    key, other = source, {}
+                    for x, y in zip(b, q):
+                        other.setdefault(x, []).append(y)
+                    unlinked = {y for y, mark in zip(q, n) if mark & 2}
+                free = {x for x, mark in zip(p, m) if mark & 1}
+                pairs = [(x, y) for x, y in shared(a, p, other) if x in free or y in unlinked]
+                if not pairs or pairs[-1][0] - pairs[0][0] < reach:
+                    continue
+                for c in chains([x for x, _ in pairs], [y for _, y in pairs]):
+                    if pairs[c[-1]][0] - pairs[c[0]][0] >= reach:
+                        ps, qs = zip(*(pairs[i] for i in c))
+                        out.append((doc, source, ps, qs, None, None))
+            if out:
+                yield _chained(out)
+
+    known = spans_of(plain, "doc_id", "start_word", "end_word").withColumn("kind", F.lit(0)).unionByName(
+        spans_of(plain, "source_doc_id", "source_start", "source_end").withColumn("kind", F.lit(1)))
+    states = known.select("doc", "kind", "ps", F.lit(None).cast("array<long>").alias("seeds")).unionByName(
+        repeated.select("doc", F.when(F.col("late"), 3).otherwise(2).alias("kind"), "ps", "seeds")).repartition(
+        "doc").sortWithinPartitions("doc", "kind").mapInArrow(left, "seed long, doc long, p int, still boolean, marks int")
+    sketches = materialise(states.repartition("seed").sortWithinPartitions("seed", "still", "doc", "p").mapInArrow(
+        live, "seed long, doc long, p int, still boolean, marks int").repartition("doc").sortWithinPartitions("doc", "p").select(
+        "doc", "seed", "p", "marks").mapInArrow(sketch, "doc long, seeds array<long>, ps array<int>, marks array<int>"), "sketches")
+    pairs_of = sketches.mapInArrow(keys, "key long, doc long, marks int")
+    asking = pairs_of.where("marks > 0").select("key", F.col("doc").alias("one"), "marks", F.explode(
+        F.array(*map(F.lit, range(SALTS)))).alias("salt"))
+    having = pairs_of.select("key", F.col("doc").alias("two"), F.pmod(F.hash("doc"), F.lit(SALTS)).alias("salt"))
+    close = asking.join(having, ["key", "salt"]).where("two < one OR (two > one AND marks >= 2)").select(
+        F.greatest("one", "two").alias("doc"), F.least("one", "two").alias("source")).distinct()
+    theirs = sketches.toDF("source", "b", "q", "n")
+    chained = materialise(close.join(sketches.toDF("doc", "a", "p", "m"), "doc").join(theirs, "source").repartition(
+        "source", "doc").sortWithinPartitions("source", "doc").select("doc", "source", "a", "p", "m", "b", "q", "n").mapInArrow(
+        again, chained.schema), "chains")
+    drop_shuffles(docs.sparkSession)
+    old, new = plain.alias("old"), verified(chained).alias("new")
+    more = new.join(old, (F.col("old.doc_id") == F.col("new.doc_id")) & (F.col("old.source_doc_id") == F.col("new.source_doc_id"))
+                    & F.expr("old.start_word <= new.start_word AND new.end_word <= old.end_word"), "left_anti")
+    return plain.unionByName(more)

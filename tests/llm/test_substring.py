@@ -165,3 +165,52 @@ def test_wide_hashes_and_cover():
         kept = sd.cover(spans)
         points = lambda x: {p for a, b, _ in x for p in range(a, b)}
         assert points(kept) == points(spans) and set(kept) <= set(spans) and len(kept) == len(set(kept))
+
+
+def test_changed_passages_whose_seeds_begin_in_different_documents(spark):
+    rng = random.Random(31)
+    words = [f"w{k}" for k in range(5000)]
+    make = lambda n: [rng.choice(words) for _ in range(n)]
+    docs, want = {}, {}
+    for k in range(30):  # each half first in a document of its own, every 27th word or so changed in the last
+        whole = make(100)
+        changed = list(whole)
+        for j in (24, 49, 50, 74):
+            changed[j] = f"z{k}-{j}"
+        base = 10 * k
+        if k < 20:
+            docs[base + 1], docs[base + 2] = make(20) + whole[:44] + make(20), make(9) + whole[53:] + make(20)
+            docs[base + 3] = make(20) + whole[20:48] + make(5)  # and some of it just before
+            docs[base + 4], docs[base + 5] = make(5) + whole + make(30), make(33) + changed
+            want[base + 5] = (base + 4, 33, 133, 5)
+        else:  # the earlier one has words that no other has, the later one meets another document first
+            docs[base + 1] = make(5) + whole + make(30)
+            docs[base + 5] = make(33) + changed
+            want[base + 5] = (base + 1, 33, 133, 5)
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in docs.items()], "doc_id long, text string")
+    got = {}
+    for r in sd.repeated_passages(df).collect():
+        assert r["doc_id"] in want and r["doc_id"] not in got
+        got[r["doc_id"]] = (r["source_doc_id"], r["start_word"], r["end_word"], r["source_start"])
+        assert r["source_end"] - r["source_start"] == 100 and r["matched_words"] == 96
+    assert got == want
+
+
+def test_two_seeds_and_places_amid_runs():
+    rng = random.Random(37)
+    for _ in range(50):
+        text = np.sort(np.array([rng.randrange(3) for _ in range(60)]))
+        place = np.concatenate([np.sort(rng.sample(range(400), int((text == t).sum()))) for t in range(3)]).astype(np.int32)
+        seed = np.array([rng.randrange(4) for _ in text], np.uint64)
+        marks = np.array([rng.randrange(4) for _ in text], np.int32)
+        want = {}
+        for i in range(60):
+            for j in range(i + 1, 60):
+                if text[i] == text[j] and 12 <= place[j] - place[i] <= sd.FAR:
+                    k = (int(text[i]), int(seed[i]), int(seed[j]))
+                    want[k] = want.get(k, 0) | int(marks[i] & marks[j])
+        key, of, both = sd.two_seeds(seed, place, text, 12, marks)
+        assert len(set(zip(key.tolist(), of.tolist()))) == len(key) == len(want)
+        assert sorted(zip(of.tolist(), both.tolist())) == sorted((t, m) for (t, _, _), m in want.items())
+    seed, place = np.array([5, 5, 5, 5, 7, 5, 9, 9, 9]), np.array([3, 4, 5, 6, 7, 9, 20, 30, 41])
+    assert place[sd.ends(seed, place)].tolist() == [3, 6, 7, 9, 20, 30, 41]
