@@ -16,9 +16,10 @@ it, the hashes of all runs of that length are joined to their first occurrence.
 What is then still in no passage may be a passage with changed words.  There the
 seeds meet by twos, as far apart as those of a passage are: a document meets
 every earlier one that has the same two, and every later one where nothing is
-linked yet.  The free seeds that two such documents share are chained and aligned
-as before.  Two seeds are in far fewer documents than one, so a common line of a
-few seeds brings no pairs.
+linked yet, but only where the words before the one seed and after the other let a
+passage of the least length stand, as one byte a word tells without loss.  So a
+common line brings no pairs of the documents that share nothing beside it.  The free
+seeds that two such documents share are chained and aligned as before.
 """
 
 from __future__ import annotations
@@ -37,7 +38,7 @@ WEIGHT, GAP_COST = 8.0, 0.125  # a seed's worth, and the cost of a word of eithe
 TOGETHER = 256  # requests that share one copy of a text
 MARGIN = 48  # words beside a chain that the alignment may grow into
 FAR = 128  # words that two seeds may be apart to stand for a passage
-SALTS = 16  # tasks that share the documents with the same two seeds
+MEETINGS = 1 << 16  # places of two seeds compared at once
 CROSSED = 8  # places in one document by those in the other up to which a seed's all meet
 MOST = np.uint64(2 ** 64 - 1)
 
@@ -145,11 +146,15 @@ def common_words(a: np.ndarray, b: np.ndarray) -> int:
         straight = int((a == b).sum())
         if straight == len(a):
             return straight
-    row = np.zeros(len(b) + 1, np.int64)
-    for x in a:
-        diagonal = row[:-1] + (b == x)
-        row[1:] = np.maximum.accumulate(np.maximum(diagonal, row[1:]))
-    return int(row[-1])
+    places: dict[int, int] = {}
+    for k, x in enumerate(a.tolist()):
+        places[x] = places.get(x, 0) | 1 << k
+    full = row = (1 << len(a)) - 1  # a 0 bit is where a row of the usual table steps up
+    for y in b.tolist():
+        if at := places.get(y):
+            up = row & at
+            row = ((row + up) | (row - up)) & full
+    return len(a) - row.bit_count()
 
 
 def grow(same: np.ndarray, allowed: int = 3) -> int:
@@ -336,20 +341,77 @@ def ends(seed: np.ndarray, place: np.ndarray) -> np.ndarray:
     return out
 
 
-def two_seeds(seed: np.ndarray, place: np.ndarray, text: np.ndarray, least: int, marks: np.ndarray):
-    """Hashes of two seeds of a text ``least`` to ``FAR`` words apart, once in a text, with the marks that both have in some place."""
-    found, step = [], 1
+def twos(seed: np.ndarray, place: np.ndarray, text: np.ndarray, least: int):
+    """Hashes of two seeds of a text ``least`` to ``FAR`` words apart, with the indexes of both, a distance in the list at a time."""
+    step = 1
     while step < len(place):
         gap = place[step:] - place[:-step]
         near = (text[step:] == text[:-step]) & (gap <= FAR)
         if not near.any():
             break
         at = np.flatnonzero(near & (gap >= least))
-        found.append(once(mix(seed[at] * np.uint64(0x9E3779B97F4A7C15) + seed[at + step]), text[at], marks[at] & marks[at + step]))
+        yield mix(seed[at] * np.uint64(0x9E3779B97F4A7C15) + seed[at + step]), at, at + step
         step += 1
+
+
+def two_seeds(seed: np.ndarray, place: np.ndarray, text: np.ndarray, least: int, marks: np.ndarray):
+    """Hashes of two seeds of a text ``least`` to ``FAR`` words apart, once in a text, with the marks that both have in some place."""
+    found = [once(key, text[i], marks[i] & marks[j]) for key, i, j in twos(seed, place, text, least)]
     return once(*map(np.concatenate, zip(*found))) if found else (seed[:0], text[:0], marks[:0])
 
 
+def beside(h: np.ndarray, low: np.ndarray, high: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """A byte for each of ``width`` words before places, nearest first, and from other places on; 0 is outside the text."""
+    line = np.zeros(len(h) + 2 * width, np.uint8)
+    line[width:width + len(h)] = 1 + h % np.uint64(255)
+    steps = np.arange(width)
+    top = len(line) - 1
+    return line[np.clip(width + low[:, None] - 1 - steps, 0, top)], line[np.clip(width + high[:, None] + steps, 0, top)]
+
+
+def grown(a: np.ndarray, b: np.ndarray, allowed: int = 3) -> tuple[np.ndarray, np.ndarray]:
+    """At least what ``grow`` gives for words with these bytes, and whether it may go on behind them."""
+    same = (a == b) & (a != 0)
+    score = np.cumsum(np.where(same, 1, -2), axis=1, dtype=np.int16)
+    top = np.maximum.accumulate(np.maximum(score, 0), axis=1)
+    on = np.logical_and.accumulate(score >= top - 2 * allowed, axis=1)
+    peak = (on & same & (score == top))[:, ::-1]
+    return np.where(peak.any(axis=1), a.shape[1] - peak.argmax(axis=1), 0), on[:, -1]
+
+
+def may_share(span: np.ndarray, left: np.ndarray, right: np.ndarray, i: np.ndarray, j: np.ndarray, min_words: int, least: float) -> np.ndarray:
+    """Whether a passage can hold the same two seeds in places ``i`` and ``j`` as its first and last ones.
+
+    Bytes that differ are different words, so none that ``segments`` gives is ruled out.
+    """
+    small, large = np.minimum(span[i], span[j]) + K, np.maximum(span[i], span[j]) + K
+    before, more = grown(left[i], left[j])
+    after, yet_more = grown(right[i], right[j])
+    words = before + after + small
+    return more | yet_more | ((words >= min_words) & (words >= least * (words + large - small)))
+
+
+def meetings(key: np.ndarray, doc: np.ndarray, marks: np.ndarray):
+    """Pairs of indexes with the same key, the second of the later document, where it is free or the first is in no link; rows come sorted."""
+    at = np.arange(len(key))
+    new = np.concatenate([[True], key[1:] != key[:-1]])
+    begin = np.maximum.accumulate(np.where(new, at, 0))
+    end = np.append(np.flatnonzero(new)[1:], len(key))[np.cumsum(new) - 1]
+    # a free place and all before it; a place in no link and those after it that are not free
+    for who, lo, n in ((at, begin, np.where(marks > 0, at - begin, 0)), (at, at + 1, np.where(marks >= 2, end - at - 1, 0))):
+        total = np.cumsum(n)
+        k = 0
+        while k < len(at):
+            top = max(int(np.searchsorted(total, (total[k - 1] if k else 0) + MEETINGS, side="right")), k + 1)
+            mine = np.repeat(who[k:top], n[k:top])
+            other = np.arange(len(mine)) - np.repeat(np.cumsum(n[k:top]) - n[k:top], n[k:top]) + np.repeat(lo[k:top], n[k:top])
+            i, j = np.minimum(mine, other), np.maximum(mine, other)
+            good = (doc[i] != doc[j]) & ((mine == j) | (marks[j] == 0))
+            if good.any():
+                yield i[good], j[good]
+            k = top
+
+
 def once(key: np.ndarray, text: np.ndarray, marks: np.ndarray):
     """Each key of a text once, with all marks that it has there."""
     order = np.lexsort((key, text))
@@ -684,22 +746,94 @@ def repeated_passages(docs: DataFrame, min_words: int = 50, min_identity: float
         if len(held) > 1:
             yield _rows([row()])
 
-    def keys(batches):
+    def around(batches):
+        """The places of two seeds, with the bytes of the words beside them."""
         for batch in batches:
-            seeds, ps, marks = (batch.column(c).flatten().to_numpy() for c in (1, 2, 3))
-            text = np.repeat(np.arange(len(batch)), batch.column(1).value_lengths().to_numpy())
-            key, text, both = two_seeds(seeds.view(np.uint64), ps, text, max(reach, 1), marks)
-            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), batch.column(0).take(pa.array(text)), pa.array(both)],
-                                             names=["key", "doc", "marks"])
+            ids, *lists = (batch.column(c).to_pylist() for c in (0, 2, 3, 4))
+            for lo, n, h, first in _words(batch):
+                out = []
+                for k in range(n):
+                    seeds, ps, marks = (np.array(x[lo + k], t) for x, t in zip(lists, (np.int64, np.int32, np.int32)))
+                    found = list(twos(seeds.view(np.uint64), ps, np.zeros(len(ps), np.int8), max(reach, 1)))
+                    if not found:
+                        continue
+                    key, i, j = map(np.concatenate, zip(*found))
+                    before, after = beside(h[first[k]:first[k + 1]], ps[i], ps[j] + K, min_words)
+                    out.append(pa.RecordBatch.from_arrays(
+                        [pa.array(key.view(np.int64)), pa.array(np.full(len(key), ids[lo + k])), pa.array(marks[i] & marks[j]),
+                         pa.array(ps[j] - ps[i]), *(pa.array([x.tobytes() for x in y], pa.binary()) for y in (before, after))],
+                        names=["key", "doc", "marks", "span", "before", "after"]))
+                if out:
+                    yield from pa.Table.from_batches(out).combine_chunks().to_batches()
+
+    def meet(batches):
+        """Documents, each with those that it may share a passage with around the same two seeds; rows come sorted."""
+        held = None
+
+        def pairs(table):
+            key, doc, marks, span = (table.column(c).to_numpy() for c in range(4))
+            left, right = (np.frombuffer(b"".join(table.column(c).to_pylist()), np.uint8).reshape(-1, min_words) for c in (4, 5))
+            for i, j in meetings(key, doc, marks):
+                good = may_share(span, left, right, i, j, min_words, min_identity)
+                if good.any():
+                    later, earlier = doc[j[good]], doc[i[good]]
+                    order = np.lexsort((earlier, later))
+                    later, earlier = later[order], earlier[order]
+                    new = np.flatnonzero(np.concatenate([[True], later[1:] != later[:-1]]))
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(later[new]), pa.ListArray.from_arrays(pa.array(np.append(new, len(later)).astype(np.int32)), pa.array(earlier))],
+                        names=["doc", "sources"])
+
+        for batch in batches:
+            if not len(batch):
+                continue
+            here = pa.Table.from_batches([batch])
+            key = batch.column(0).to_numpy()
+            last = int(np.searchsorted(key, key[-1]))  # the last key may go on
+            if held is None:
+                held = here.slice(last)
+                whole = here.slice(0, last)
+            elif last == 0 and held.column(0)[0].as_py() == key[0]:
+                held = pa.concat_tables([held, here])
+                continue
+            else:
+                held, whole = here.slice(last), pa.concat_tables([held, here.slice(0, last)])
+            if len(whole):
+                yield from pairs(whole)
+        if held is not None:
+            yield from pairs(held)
+
+    def apart(batches):
+        """Each pair once; rows come sorted by document."""
+        key, held = None, []
+
+        def row():
+            found = np.unique(np.concatenate(held))
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(found), key)), pa.array(found)], names=["doc", "source"])
+
+        for batch in batches:
+            out = []
+            lists = batch.column(1)
+            for k, doc in enumerate(batch.column(0).to_pylist()):
+                if doc != key:
+                    if held:
+                        out.append(row())
+                    key, held = doc, []
+                held.append(lists[k].values.to_numpy())
+            if out:
+                yield from pa.Table.from_batches(out).combine_chunks().to_batches()
+        if held:
+            yield row()
 
     def again(batches):
         """Chains of the seeds of two documents that are in no passage yet."""
         key, other, unlinked = None, {}, set()
         for batch in batches:
             out = []
-            for doc, source, a, p, m, b, q, n in zip(*(c.to_pylist() for c in batch.columns)):
+            for k, (doc, source, a, p, m) in enumerate(zip(*(c.to_pylist() for c in batch.columns[:5]))):
                 if source != key:
                     key, other = source, {}
+                    b, q, n = (c[k].as_py() for c in batch.columns[5:])
                     for x, y in zip(b, q):
                         other.setdefault(x, []).append(y)
                     unlinked = {y for y, mark in zip(q, n) if mark & 2}
@@ -722,12 +856,10 @@ def repeated_passages(docs: DataFrame, min_words: int = 50, min_identity: float
     sketches = materialise(states.repartition("seed").sortWithinPartitions("seed", "still", "doc", "p").mapInArrow(
         live, "seed long, doc long, p int, still boolean, marks int").repartition("doc").sortWithinPartitions("doc", "p").select(
         "doc", "seed", "p", "marks").mapInArrow(sketch, "doc long, seeds array<long>, ps array<int>, marks array<int>"), "sketches")
-    pairs_of = sketches.mapInArrow(keys, "key long, doc long, marks int")
-    asking = pairs_of.where("marks > 0").select("key", F.col("doc").alias("one"), "marks", F.explode(
-        F.array(*map(F.lit, range(SALTS)))).alias("salt"))
-    having = pairs_of.select("key", F.col("doc").alias("two"), F.pmod(F.hash("doc"), F.lit(SALTS)).alias("salt"))
-    close = asking.join(having, ["key", "salt"]).where("two < one OR (two > one AND marks >= 2)").select(
-        F.greatest("one", "two").alias("doc"), F.least("one", "two").alias("source")).distinct()
+    close = rows.join(sketches.hint("merge"), rows["doc_id"] == sketches["doc"]).select("doc", "text", "seeds", "ps", "marks").mapInArrow(
+        around, "key long, doc long, marks int, span int, before binary, after binary").repartition("key").sortWithinPartitions(
+        "key", "doc").mapInArrow(meet, "doc long, sources array<long>").repartition("doc").sortWithinPartitions("doc").mapInArrow(
+        apart, "doc long, source long")
     theirs = sketches.toDF("source", "b", "q", "n")
     chained = materialise(close.join(sketches.toDF("doc", "a", "p", "m"), "doc").join(theirs, "source").repartition(
         "source", "doc").sortWithinPartitions("source", "doc").select("doc", "source", "a", "p", "m", "b", "q", "n").mapInArrow(

@@ -214,3 +214,76 @@ def test_two_seeds_and_places_amid_runs():
         assert sorted(zip(of.tolist(), both.tolist())) == sorted((t, m) for (t, _, _), m in want.items())
     seed, place = np.array([5, 5, 5, 5, 7, 5, 9, 9, 9]), np.array([3, 4, 5, 6, 7, 9, 20, 30, 41])
     assert place[sd.ends(seed, place)].tolist() == [3, 6, 7, 9, 20, 30, 41]
+
+
+def test_a_common_line_brings_no_pairs_of_unlike_documents(spark, monkeypatch):
+    rng = random.Random(41)
+    words = [f"w{k}" for k in range(5000)]
+    make = lambda n: [rng.choice(words) for _ in range(n)]
+    line = make(38)
+    docs, want = {i: make(rng.randrange(5, 60)) + line + make(rng.randrange(5, 60)) for i in range(1, 81)}, {}
+    docs[0] = make(9) + line  # the first of the line is like none of them
+    for k in range(100, 106):  # what stands beside the line repeats with changed words and has no seed
+        beside = make(24)
+        docs[k] = make(10) + line + beside + make(20)
+        changed = list(beside)
+        for j in (3, 8, 14, 19):
+            changed[j] = f"z{k}-{j}"
+        docs[k + 100] = make(30) + line + changed + make(15)
+        want[k + 100] = (k, 30, 92, 10)
+    written = {}
+
+    def noted(df, name):
+        out = materialise(df, name)
+        written[name] = out.count()  # the last ones: chains of what no passage covers
+        return out
+
+    materialise = sd.materialise
+    monkeypatch.setattr(sd, "materialise", noted)
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in docs.items()], "doc_id long, text string")
+    rows = sd.repeated_passages(df).collect()
+    got = {r["doc_id"]: (r["source_doc_id"], r["start_word"], r["end_word"], r["source_start"]) for r in rows}
+    assert got == want and len(rows) == len(want)
+    assert written["chains"] <= len(docs)
+
+
+def test_meetings_and_what_they_may_share():
+    rng = random.Random(43)
+    for most in (5, 1 << 16):
+        sd.MEETINGS, before = most, sd.MEETINGS
+        for _ in range(60):
+            n = rng.randrange(1, 40)
+            rows = sorted((rng.randrange(4), rng.randrange(8)) for _ in range(n))
+            key, doc = (np.array(x, np.int64) for x in zip(*rows))
+            marks = np.array([rng.choice((0, 0, 1, 2, 3)) for _ in rows])
+            got = [x for i, j in sd.meetings(key, doc, marks) for x in zip(i.tolist(), j.tolist())]
+            want = {(i, j) for i in range(n) for j in range(i + 1, n)
+                    if key[i] == key[j] and doc[i] != doc[j] and (marks[j] > 0 or marks[i] >= 2)}
+            assert len(got) == len(want) and set(got) == want
+        sd.MEETINGS = before
+    kept = 0
+    for _ in range(600):  # a run around two seeds, edited: nothing that segments gives is ruled out
+        base = [rng.randrange(10 ** 6) for _ in range(rng.randrange(40, 90))]
+        texts = []
+        for _ in range(2):
+            t, rate = list(base), rng.choice((0.02, 0.1, 0.2))
+            for k in range(len(t)):
+                if rng.random() < rate:
+                    t[k] = rng.randrange(10 ** 6)
+            texts.append([rng.randrange(10 ** 6) for _ in range(rng.randrange(0, 30))] + t + [rng.randrange(10 ** 6) for _ in range(rng.randrange(0, 30))])
+        a, b = (np.array(t, np.uint64) for t in texts)
+        seeds = [(i, j) for i in range(len(a) - sd.K) for j in range(len(b) - sd.K) if (a[i:i + sd.K] == b[j:j + sd.K]).all()]
+        if len(seeds) < 2:
+            continue
+        p, q = (list(x) for x in zip(seeds[0], seeds[-1]))
+        if p[1] - p[0] < 12 or p[1] - p[0] > sd.FAR:
+            continue
+        sides = [sd.beside(h, np.array([x[0]]), np.array([x[1] + sd.K]), 50) for h, x in ((a, p), (b, q))]
+        left, right = (np.concatenate([s[k] for s in sides]) for k in (0, 1))
+        may = sd.may_share(np.array([p[1] - p[0], q[1] - q[0]]), left, right, np.array([0]), np.array([1]), 50, 0.8)
+        if sd.segments(a, b, [x for x, _ in seeds], [y for _, y in seeds], 50, 0.8):
+            kept += 1
+            assert may[0]
+        x, y = (np.array([rng.randrange(1, 3) for _ in range(50)], np.uint8) for _ in range(2))
+        assert sd.grown(x[None], y[None])[0][0] >= sd.grow(x == y)
+    assert kept > 50
