@@ -1,8 +1,8 @@
 """License scans by diagonal voting (DataFrame functions only).
 
-All rolling word pairs of a text are hashed and joined to the places of the
-same pairs in the templates, by the hash and then by the words themselves, so
-that no hit rests on a hash.  A hit at word p of the text and q of a template
+All rolling word pairs of a text are hashed; those with the hash of a template's
+pair are joined to the places of the same pairs in the templates, by the hash and
+then by the words themselves, so that no hit rests on a hash.  A hit at word p of the text and q of a template
 votes for the diagonal p - q.  Full diagonals of the short base phrases are
 exact occurrences; neighbouring diagonals of a longer template are merged, so
 that inserted or lost words do not break a notice, and the merged span is
@@ -64,6 +64,21 @@ def words_of(text):
     return F.array_remove(F.split(low, NOT_WORD), "")
 
 
+def pairs(words: DataFrame) -> DataFrame:
+    """Of all rolling word pairs of ``w`` those with the hash of a template's, and a row at the end of each text.
+
+    Only a pair with such a hash becomes a row, so a text's other words leave no
+    garbage but their hashes.  Id, key and two words pass the generator: a text
+    must not be copied for each word.
+    """
+    known = sorted({pair for text, _ in (*BASE, *NOTICES) for pair in zip(text.split(), text.split()[1:])})
+    hashes = ", ".join(f"xxhash64('{a}', '{b}')" for a, b in known)
+    return words.select("rk", "doc_id", F.explode(F.expr(f"""concat(
+        array_compact(transform(w, (x, i) -> CASE WHEN xxhash64(x, get(w, i + 1)) IN ({hashes}) THEN
+            struct(i AS p, xxhash64(x, get(w, i + 1)) AS h, x AS a, coalesce(get(w, i + 1), '') AS b) END)),
+        array(struct(size(w) AS p, {SENTINEL}L AS h, '' AS a, '' AS b)))""")).alias("g")).select("rk", "doc_id", "g.*")
+
+
 def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                  max_shift: int = 2, min_cover: float = 0.75) -> DataFrame:
     """One row per input row: ``doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score``.
@@ -74,11 +89,7 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     words = docs.select(F.monotonically_increasing_id().alias("rk"), F.col(id_col).alias("doc_id"),
                         words_of(F.col(text_col)).alias("w"))
-    # Only id, key and two words pass the generator: a text must not be copied for each word.
-    grams = words.select("rk", "doc_id", F.posexplode(F.expr(f"""concat(
-        transform(w, (x, i) -> struct(xxhash64(x, get(w, i + 1)) AS h, x AS a, coalesce(get(w, i + 1), '') AS b)),
-        array(struct({SENTINEL}L AS h, '' AS a, '' AS b)))""")).alias("p", "g")).select("rk", "doc_id", "p", "g.*")
-    hits = grams.join(F.broadcast(_templates(docs.sparkSession)), ["h", "a", "b"]).select(
+    hits = pairs(words).join(F.broadcast(_templates(docs.sparkSession)), ["h", "a", "b"]).select(
         "rk", "doc_id", "p", "tmpl", "label", "base", "q", "m")
     key = ["rk", "doc_id"]
     diagonals = hits.repartition("rk").groupBy(

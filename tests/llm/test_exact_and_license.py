@@ -105,6 +105,16 @@ def test_license_base_against_brute_force(spark):
     assert license_scan.license_scan(table(spark, TEXTS).limit(0)).count() == 0
 
 
+def test_only_template_pairs_pass_the_generator(spark):
+    from pyspark.sql import functions as F
+
+    texts = [(1, "x " * 5000 + "mit license"), (2, None), (3, "a gnu general gnu"), (4, "license mit of the")]
+    split = table(spark, texts).select(F.col("doc_id").alias("rk"), "doc_id", license_scan.words_of(F.col("text")).alias("w"))
+    got = sorted((r["doc_id"], r["p"], r["a"], r["b"]) for r in license_scan.pairs(split).collect())
+    assert got == [(1, 5000, "mit", "license"), (1, 5002, "", ""), (2, 0, "", ""), (3, 1, "gnu", "general"), (3, 4, "", ""),
+                   (4, 2, "of", "the"), (4, 4, "", "")]
+
+
 @pytest.mark.parametrize("sf", ["sf0.001"])
 def test_license_query_over_the_whole_table(spark, sf):
     docs = spark.read.parquet(f"/root/testdata/{sf}/documents.parquet").collect()
