@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 
 KEPT = "stage-"
+CODECS = {"words": "zstd"}  # by name of an intermediate table; others take the session's
 _WRITTEN: dict[str, list[str]] = {}  # by application
 
 
@@ -70,7 +71,7 @@ def materialise(df: DataFrame, name: str, partition_hint: int | None = None) ->
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    (df.coalesce(partition_hint) if partition_hint else df).write.parquet(path)
+    (df.coalesce(partition_hint) if partition_hint else df).write.parquet(path, compression=CODECS.get(name))
     return spark.read.schema(df.schema).parquet(path)
 
 

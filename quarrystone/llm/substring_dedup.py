@@ -1,5 +1,6 @@
 """Substring dedup by collinear chaining.
 
+Each text is read and hashed once; from then on a word is its 32-bit hash.
 Texts are sampled into word k-mers, the smallest hash of every window, so two
 equal runs of ``K + WINDOW - 1`` words always share a seed.  Each seed's
 occurrences are joined to its first one, which gives anchors between two
@@ -268,11 +269,21 @@ def segments(a: np.ndarray, b: np.ndarray, p: list[int], q: list[int], min_words
     return out[::-1]
 
 
+def _hashed(batches):
+    """The 32-bit hashes of each text's words, in order, as bytes."""
+    for batch in batches:
+        data, offsets = utf8(batch.column(1))
+        for lo, hi in slices(offsets, 4 << 20):
+            h, first = word_hashes(data, offsets[lo:hi + 1])
+            words = pa.Array.from_buffers(pa.binary(), hi - lo, [
+                None, pa.py_buffer((first * 4).astype(np.int32)), pa.py_buffer(h.astype(np.uint32))])
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), words], names=["doc_id", "words"])
+
+
 def _words(batch):
     data, offsets = utf8(batch.column(1))
-    done = 0
-    for lo, hi in slices(offsets, 4 << 20):
-        yield (done + lo, hi - lo, *word_hashes(data, offsets[lo:hi + 1]))
+    for lo, hi in slices(offsets, 2 << 20):
+        yield lo, hi - lo, data[offsets[lo]:offsets[hi]].view(np.uint32).astype(np.uint64), (offsets[lo:hi + 1] - offsets[lo]) // 4
 
 
 def wide_hashes(h: np.ndarray, width: int) -> np.ndarray:
@@ -320,6 +331,51 @@ def open_windows(n: int, seeded: np.ndarray, covered: np.ndarray, width: int) ->
     return places, np.cumsum(hidden)[places] == 0
 
 
+def asking(seeded: pa.ListArray, seeds: pa.ListArray, late: pa.ListArray, covered: pa.ListArray, width: int):
+    """Seeds (text, place, seed) where runs of ``width`` words may repeat, and whether one that asks may begin with each.
+
+    A run that an earlier text has holds no seed but late ones, which are first
+    in an earlier text; it asks where no passage covers it.  The first ``WINDOW``
+    places of a run hold a sampled seed, so equal runs have one at the same place
+    in them.  A text's end is not known, so a few may be too many.
+    """
+    def flat(lists):
+        offsets = lists.offsets.to_numpy()
+        return lists.values.to_numpy(zero_copy_only=False)[offsets[0]:offsets[-1]], np.diff(offsets)
+
+    (place, counts), (value, _), (after, _), (edges, sides) = map(flat, (seeded, seeds, late, covered))
+    far = np.int64(1) << 33  # texts stand so far apart
+    text = np.repeat(np.arange(len(counts)), counts)
+    order = np.lexsort((place, text))
+    text, place, value, after = text[order], place[order], value[order], after[order]
+    at = text * far + place
+
+    def first_in(at):
+        """Places of runs that may repeat around these seeds, each the first in them, from and to."""
+        lows, highs = runs_of(at, at, WINDOW)
+        run = np.searchsorted(lows, at, side="right") - 1
+        return (np.maximum(at - WINDOW + 1, np.maximum(lows[run] - WINDOW + 1, at // far * far)),
+                np.minimum(at, highs[run] + K + WINDOW - 1 - width))
+
+    asks = np.zeros(len(at), bool)
+    if not len(at):
+        return text, place, value, asks
+    begin, end = first_in(at)
+    dense = end >= begin
+    if after.any():
+        begin, end = first_in(at[after])
+        open_ = end >= begin
+        owner = np.repeat(np.arange(len(sides)), sides)[::2] * far
+        hide, until = owner + edges[::2], owner + edges[1::2] - width
+        hide, until = hide[until >= hide], until[until >= hide]
+        if len(hide):
+            hide, until = runs_of(hide, until, 1)
+            k = np.searchsorted(hide, begin, side="right") - 1
+            open_ &= (k < 0) | (until[np.maximum(k, 0)] < end)
+        asks[after] = open_
+    return text[dense], place[dense], value[dense], asks[dense]
+
+
 def inside(places: np.ndarray, size: int, spans: list[list[int]]) -> np.ndarray:
     """Whether ``size`` words from each place on lie in spans that touch."""
     if not spans:
@@ -456,6 +512,8 @@ def cover(found: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     return out + ([best] if best else [])
 
 
+CHAINED = {"doc": pa.int64(), "source": pa.int64(), "ps": pa.list_(pa.int32()), "qs": pa.list_(pa.int32()),
+           "seeds": pa.list_(pa.int64()), "late": pa.bool_()}
 CUT = ["doc", "source", "side", "p0", "q0", "lo", "places", "words"]
 PASSAGES = ("doc_id long, start_word long, end_word long, source_doc_id long, source_start long, source_end long, "
             "matched_words long, identity double")
@@ -478,8 +536,9 @@ def repeated_passages(docs: DataFrame, min_words: int = 50, min_identity: float
     rows that repeat an id are one document, not compared with each other.  An
     empty table gives no rows.
     """
-    rows = docs.where(F.col(id_col).isNotNull()).select(
-        F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = materialise(docs.where(F.col(id_col).isNotNull()).select(
+        F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInArrow(
+        _hashed, "doc_id long, words binary"), "words")
 
     def seeds(batches):
         for batch in batches:
@@ -521,44 +580,66 @@ def repeated_passages(docs: DataFrame, min_words: int = 50, min_identity: float
     reach = min_words - K - 2 * (WINDOW - 1)  # an exact passage that long has seeds at least so far apart
 
     def chain(batches):
-        held: list[tuple[int, int]] = []
-        places: list[int] = []
-        values: list[int] = []
-        key = None
-
-        def finish():
-            # the document's repeated seeds, in a row without a source; late ones are first in another document
-            if places:
-                yield key[0], None, places, None, values, key[0] != key[1]
-            if key[0] == key[1]:
-                return
-            for c in chains([x for x, _ in held], [y for _, y in held]):
-                p, q = [held[i][0] for i in c], [held[i][1] for i in c]
-                if p[-1] - p[0] >= reach:
-                    yield key[0], key[1], p, q, None, None
-
+        """Chains of each two documents, and a document's repeated seeds in a row without a source; rows come sorted."""
+        held: list[list[np.ndarray]] = []
         for batch in batches:
-            out = []
-            for d, s, p, q, seed in zip(*(c.to_pylist() for c in batch.columns)):
-                if (d, s) != key:
-                    if held:
-                        out += finish()
-                    held, places, values, key = [], [], [], (d, s)
-                if not held or held[-1] != (p, q):
-                    held.append((p, q))
-                if not seed & 1:
-                    places.append(p)
-                    values.append(seed)
-            if out:
-                yield _chained(out)
-        rest = list(finish()) if held else []
-        if rest:
-            yield _chained(rest)
+            cols = [c.to_numpy() for c in batch.columns]
+            d, s = cols[:2]
+            if not len(d):
+                continue
+            last = len(d) - int(((d != d[-1]) | (s != s[-1]))[::-1].argmax()) if ((d != d[-1]) | (s != s[-1])).any() else 0
+            if held and (last or held[0][0][0] != d[0] or held[0][1][0] != s[0]):
+                whole = [np.concatenate(c) for c in zip(*held, [c[:last] for c in cols])]
+                held = []
+                yield from of_groups(*whole)
+            elif last:
+                yield from of_groups(*(c[:last] for c in cols))
+            held.append([c[last:] for c in cols])
+        if held:
+            yield from of_groups(*(np.concatenate(c) for c in zip(*held)))
+
+    def of_groups(d, s, p, q, seed):
+        new = np.concatenate([[True], (d[1:] != d[:-1]) | (s[1:] != s[:-1])])
+        even = np.flatnonzero(seed & 1 == 0)
+        if len(even):
+            group = np.cumsum(new)[even]
+            first = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+            at, to = even[first], pa.array(np.append(first, len(even)).astype(np.int32))
+            # late ones are first in another document
+            yield _listed(d[at], None, pa.ListArray.from_arrays(to, pa.array(p[even])), None,
+                          pa.ListArray.from_arrays(to, pa.array(seed[even])), d[at] != s[at])
+        some = (d != s) & (new | np.concatenate([[True], (p[1:] != p[:-1]) | (q[1:] != q[:-1])]))
+        d, s, p, q = (x[some] for x in (d, s, p, q))
+        if not len(d):
+            return
+        new = np.concatenate([[True], (d[1:] != d[:-1]) | (s[1:] != s[:-1])])
+        first = np.flatnonzero(new)
+        ends = np.append(first[1:], len(d))
+        dp, dq = np.diff(p, prepend=p[:1]), np.diff(q, prepend=q[:1])
+        # anchors that all follow the one before, at less than they are worth: one chain is the best one of each
+        plain = np.logical_and.reduceat(new | ((dp > 0) & (dq > 0) & (GAP_COST * (dp + dq) < WEIGHT)), first)
+        far = p[ends - 1] - p[first] >= reach
+        chosen = plain & far
+        if chosen.any():
+            rows = np.repeat(chosen, ends - first)
+            to = pa.array(np.concatenate([[0], np.cumsum((ends - first)[chosen])]).astype(np.int32))
+            yield _listed(d[first[chosen]], s[first[chosen]], *(pa.ListArray.from_arrays(to, pa.array(x[rows])) for x in (p, q)), None, None)
+        out = []
+        for lo, hi in zip(first[far & ~plain].tolist(), ends[far & ~plain].tolist()):
+            ps, qs = p[lo:hi].tolist(), q[lo:hi].tolist()
+            for c in chains(ps, qs):
+                if ps[c[-1]] - ps[c[0]] >= reach:
+                    out.append((int(d[lo]), int(s[lo]), [ps[i] for i in c], [qs[i] for i in c], None, None))
+        if out:
+            yield _chained(out)
+
+    def _listed(*columns):
+        n = len(columns[0])
+        return pa.RecordBatch.from_arrays([pa.nulls(n, t) if c is None else c if isinstance(c, pa.Array) else pa.array(c, t)
+                                           for c, t in zip(columns, CHAINED.values())], names=list(CHAINED))
 
     def _chained(out):
-        kinds = [pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.bool_()]
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)],
-                                          names=["doc", "source", "ps", "qs", "seeds", "late"])
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), CHAINED.values())], names=list(CHAINED))
 
     chained = materialise(anchors.repartition("doc_id", "source").sortWithinPartitions("doc_id", "source", "p", "q").select(
         "doc_id", "source", "p", "q", "seed").mapInArrow(
@@ -578,15 +659,14 @@ def repeated_passages(docs: DataFrame, min_words: int = 50, min_identity: float
         order = Window.partitionBy("want").orderBy("doc", "source", "p0", "q0", "side")
         asks = asked.withColumn("group", F.floor((F.row_number().over(order) - 1) / TOGETHER)).groupBy("want", "group").agg(
             F.collect_list(F.struct("doc", "source", "side", "p0", "q0", "lo", "hi", "places")).alias("asks"))
-        return rows.join(asks.hint("merge"), rows["doc_id"] == asks["want"]).select("text", "asks")
+        return rows.join(asks.hint("merge"), rows["doc_id"] == asks["want"]).select("words", "asks")
 
     def cut(batches):
         """The asked parts of each text as 32-bit word hashes."""
         for batch in batches:
             parts, n = [], 0
-            for text, several in zip(*batch.columns):
-                raw = np.frombuffer(text.as_buffer(), np.uint8)
-                h = word_hashes(raw, np.array([0, len(raw)]))[0].astype(np.uint32) if len(raw) else np.empty(0, np.uint32)
+            for words, several in zip(*batch.columns):
+                h = np.frombuffer(words.as_buffer(), np.uint32)
                 held = several.values.flatten()
                 low, high = held[5].to_pylist(), held[6].to_pylist()
                 out = pa.array([h[x:y].tobytes() for x, y in zip(low, high)], pa.binary())
@@ -637,20 +717,55 @@ def repeated_passages(docs: DataFrame, min_words: int = 50, min_identity: float
         return df.select(F.col(doc).alias("doc"), F.array(F.col(start).cast("int"), F.col(end).cast("int")).alias("ps")).distinct()
 
     repeated = chained.where("source IS NULL")
-    spans = repeated.select("doc", F.lit(True).alias("seeded"), "ps").unionByName(
-        spans_of(passages, "doc_id", "start_word", "end_word").select("doc", F.lit(False).alias("seeded"), "ps")).groupBy("doc").agg(
-        F.flatten(F.collect_list(F.when(F.col("seeded"), F.col("ps")))).alias("seeded"),
-        F.collect_list(F.when(~F.col("seeded"), F.col("ps"))).alias("covered"))
-    spanned = rows.join(spans.hint("merge"), rows["doc_id"] == spans["doc"]).select("doc_id", "text", "seeded", "covered")
+    def listed(column, seeded=True):
+        return F.flatten(F.collect_list(F.when(F.col("seeded") == seeded, column)))
+
+    spans = repeated.select("doc", F.lit(True).alias("seeded"), "ps", "seeds", "late").unionByName(
+        spans_of(passages, "doc_id", "start_word", "end_word").select("doc", F.lit(False).alias("seeded"), "ps"),
+        allowMissingColumns=True).groupBy("doc").agg(
+        listed(F.col("ps")).alias("seeded"), listed(F.col("seeds")).alias("seeds"),
+        listed(F.array_repeat("late", F.size("ps"))).alias("late"), listed(F.col("ps"), False).alias("covered"))
+
+    def asked(batches):
+        """Seeds where runs may repeat; those of a run that no passage covers ask."""
+        for batch in batches:
+            doc, place, value, asks = asking(*batch.columns[1:], min_words)
+            if len(doc):
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(value), batch.column(0).take(pa.array(doc)), pa.array(place), pa.array(~asks)], names=["seed", "doc", "p", "still"])
+
+    def live(batches):
+        """Of seeds as a stream, in each those first that ask: the seeds that any asks for."""
+        seed, on = None, False
+        for batch in batches:
+            s, still = (batch.column(c).to_numpy(zero_copy_only=False) for c in (0, 3))
+            if not len(s):
+                continue
+            new = np.concatenate([[seed is None or s[0] != seed], s[1:] != s[:-1]])
+            begin = np.maximum.accumulate(np.where(new, np.arange(len(s)), -1))
+            wanted = np.where(begin >= 0, ~still[np.maximum(begin, 0)], on)
+            seed, on = s[-1], bool(wanted[-1])
+            wanted &= ~(new & np.concatenate([new[1:], [False]]))  # in one place only
+            yield batch.filter(pa.array(wanted))
+
+    lively = spans.mapInArrow(asked, "seed long, doc long, p int, still boolean").repartition("seed").sortWithinPartitions(
+        "seed", "still").mapInArrow(live, "seed long, doc long, p int, still boolean").groupBy("doc").agg(
+        F.array_sort(F.collect_set("p")).alias("live"))
+    wanted = spans.join(lively.hint("merge"), "doc")
+    spanned = rows.join(wanted.hint("merge"), rows["doc_id"] == wanted["doc"]).select(
+        "doc_id", "words", "seeded", "covered", "live")
 
     def windows(batches):
         for batch in batches:
-            ids, marked, hidden = (batch.column(c).to_pylist() for c in (0, 2, 3))
+            ids, marked, hidden, needed = (batch.column(c).to_pylist() for c in (0, 2, 3, 4))
             for lo, n, h, first in _words(batch):
                 for k in range(n):
                     mine = h[first[k]:first[k + 1]]
                     places, asks = open_windows(len(mine), np.repeat(np.array(marked[lo + k], np.int64), 2).reshape(-1, 2),
                                                 np.array(hidden[lo + k], np.int64).reshape(-1, 2), min_words)
+                    seeds = np.array([*needed[lo + k], np.iinfo(np.int32).max])
+                    held = seeds[np.searchsorted(seeds, places)] < places + WINDOW
+                    places, asks = places[held], asks[held]
                     if len(places):
                         value = wide_hashes(mine, min_words)[places]
                         yield pa.RecordBatch.from_arrays(
@@ -708,20 +823,6 @@ def repeated_passages(docs: DataFrame, min_words: int = 50, min_identity: float
             if out:
                 yield from pa.Table.from_batches(out).combine_chunks().to_batches()
 
-    def live(batches):
-        """Of seeds as a stream, in each those first that ask: the seeds that any asks for."""
-        seed, on = None, False
-        for batch in batches:
-            s, still = (batch.column(c).to_numpy(zero_copy_only=False) for c in (0, 3))
-            if not len(s):
-                continue
-            new = np.concatenate([[seed is None or s[0] != seed], s[1:] != s[:-1]])
-            begin = np.maximum.accumulate(np.where(new, np.arange(len(s)), -1))
-            wanted = np.where(begin >= 0, ~still[np.maximum(begin, 0)], on)
-            seed, on = s[-1], bool(wanted[-1])
-            wanted &= ~(new & np.concatenate([new[1:], [False]]))  # in one place only
-            yield batch.filter(pa.array(wanted))
-
     def sketch(batches):
         """A document's seeds in one row."""
         held, key = [], None
@@ -856,7 +957,8 @@ def repeated_passages(docs: DataFrame, min_words: int = 50, min_identity: float
     sketches = materialise(states.repartition("seed").sortWithinPartitions("seed", "still", "doc", "p").mapInArrow(
         live, "seed long, doc long, p int, still boolean, marks int").repartition("doc").sortWithinPartitions("doc", "p").select(
         "doc", "seed", "p", "marks").mapInArrow(sketch, "doc long, seeds array<long>, ps array<int>, marks array<int>"), "sketches")
-    close = rows.join(sketches.hint("merge"), rows["doc_id"] == sketches["doc"]).select("doc", "text", "seeds", "ps", "marks").mapInArrow(
+    drop_shuffles(docs.sparkSession)
+    close = rows.join(sketches.hint("merge"), rows["doc_id"] == sketches["doc"]).select("doc", "words", "seeds", "ps", "marks").mapInArrow(
         around, "key long, doc long, marks int, span int, before binary, after binary").repartition("key").sortWithinPartitions(
         "key", "doc").mapInArrow(meet, "doc long, sources array<long>").repartition("doc").sortWithinPartitions("doc").mapInArrow(
         apart, "doc long, source long")

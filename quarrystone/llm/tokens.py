@@ -268,7 +268,7 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         column = column.combine_chunks()
     if column.null_count:
         column = column.fill_null("")
-    wide = pa.types.is_large_string(column.type)
+    wide = pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type)
     _, offs, data = column.buffers()
     kind = np.int64 if wide else np.int32
     offsets = np.frombuffer(offs, kind, len(column) + 1 + column.offset)[column.offset:].astype(np.int64)

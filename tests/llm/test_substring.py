@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 
 from quarrystone.llm import substring_dedup as sd
 from quarrystone.llm.ngram_join import rolled_hashes
@@ -287,3 +288,41 @@ def test_meetings_and_what_they_may_share():
         x, y = (np.array([rng.randrange(1, 3) for _ in range(50)], np.uint8) for _ in range(2))
         assert sd.grown(x[None], y[None])[0][0] >= sd.grow(x == y)
     assert kept > 50
+
+
+def test_only_uncovered_runs_of_an_earlier_text_ask_and_all_that_are_equal_offer():
+    rng = random.Random(47)
+    lists = lambda rows, kind: pa.array(rows, pa.list_(kind))
+    asked = 0
+    for _ in range(12):
+        lines = [[rng.randrange(10 ** 6) for _ in range(rng.randrange(20, 90))] for _ in range(6)]
+        texts = [np.array([w for _ in range(rng.randrange(0, 5)) for w in rng.choice(lines)], np.uint64) for _ in range(9)]
+        first = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+        value, text, place = sd.minimisers(np.concatenate(texts), first)
+        value &= ~np.uint64(1)
+        places = {}
+        for v, t, p in zip(value.tolist(), text.tolist(), place.tolist()):
+            places.setdefault(v, []).append((t, p))
+        seeded = [[(p, np.uint64(v).astype(np.int64), x[0][0] < t) for v, x in places.items() if len(x) > 1 for u, p in x if u == t] for t in range(9)]
+        spans = [[(a, min(a + rng.randrange(50, 120), len(t))) for a in (rng.randrange(len(t) - 50) for _ in range(rng.randrange(3)))]
+                 if len(t) > 60 else [] for t in texts]
+        columns = [lists([[s[k] for s in rows] for rows in seeded], kind) for k, kind in enumerate((pa.int32(), pa.int64(), pa.bool_()))]
+        got = {(t, p): (v, on) for t, p, v, on in zip(*(x.tolist() for x in sd.asking(
+            *columns, lists([[x for s in mine for x in s] for mine in spans], pa.int32()), 50)))}
+        late = {(t, s[0]) for t, rows in enumerate(seeded) for s in rows if s[2]}
+        assert all(k in late for k, (_, on) in got.items() if on)
+        windows = {}
+        for t, x in enumerate(texts):
+            for w in range(len(x) - 49):
+                windows.setdefault(x[w:w + 50].tobytes(), []).append((t, w))
+        for same in windows.values():
+            for t, w in same:
+                if t == same[0][0] or any(a <= w and w + 50 <= b for a, b in spans[t]):
+                    continue
+                mine = [p for p in range(w, w + sd.WINDOW) if got.get((t, p), (0, False))[1]]
+                assert any(all(got.get((u, y + p - w), (None,))[0] == got[t, p][0] for u, y in same) for p in mine)
+                asked += 1
+        whole = lists([[0, len(t)] for t in texts], pa.int32())
+        for t, p, _, on in zip(*(x.tolist() for x in sd.asking(*columns, whole, 50))):
+            assert not on or p > len(texts[t]) - 50
+    assert asked > 300
